@@ -18,7 +18,8 @@ def trailing_totals(daily: DataFrame, keys: list[str], day: str, values: list[st
 
     ``daily`` has at most one row per key and day (dates); missing days between a key's first and
     last are added. Null values count as nothing; days before the first count as nothing, so early
-    windows are partial.
+    windows are partial. Sums keep the column's type; give decimals at most 37 digits, so that adding
+    two keeps their scale.
 
     Binary doubling: block sums of 1, 2, 4, 8, 16, ... days are built each from two shifted blocks
     of half the length; a window is the sum of the blocks of its binary digits, each shifted past
@@ -40,6 +41,6 @@ def trailing_totals(daily: DataFrame, keys: list[str], day: str, values: list[st
         for v in values:
             total, past = zero[v], 0
             for bit in sorted((1 << i for i in range(n.bit_length()) if n >> i & 1), reverse=True):
-                total, past = total + shifted(f"{v}__{bit}", v, past), past + bit
+                total, past = (total + shifted(f"{v}__{bit}", v, past)).cast(kinds[v]), past + bit
             out.append(total.cast(kinds[v]).alias(f"{v}_{n}"))
     return d.select(*keys, day, *out)

@@ -19,15 +19,18 @@ def _volume_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Segments of each cell's session volume counter, which restarts with the UTC day.
 
     A slot with several readings counts with the one retrieved last. The volume of a reading ticks
-    the counter at its slot's end; the reading itself vouches for its slot only, so whatever lies
+    the counter at its slot's end, from 0 at the session's first slot; the reading itself vouches for its slot only, so whatever lies
     between two readings is a gap.
     """
     d = observations(read_table(spark, sf, "market_observation"), status=READING, times=("slot",), values=("volume",)).filter("slot IS NOT NULL")
     day = F.floor(slot_start_ms(F.col("timeframe"), F.col("slot")) / F.lit(float(DAY))).cast("long")
     d = d.select(*CELL, day.alias("session"), "slot", F.coalesce("retrieved_ms", F.lit(FAR)).alias("at"), "volume").repartition(*CELL, "session")
     one = d.groupBy(*CELL, "session", "slot").agg(F.max_by("volume", "at").alias("volume"))
-    counter = F.sum(F.coalesce(F.greatest("volume", F.lit(0.0)), F.lit(0.0))).over(Window.partitionBy(*CELL, "session").orderBy("slot"))
-    meter = one.withColumn("counter", counter).withColumn("end", F.col("slot") + 1)
+    w = Window.partitionBy(*CELL, "session").orderBy("slot")
+    ticks = F.struct("slot", (F.col("slot") + 1).alias("end"), F.sum(F.coalesce(F.greatest("volume", F.lit(0.0)), F.lit(0.0))).over(w).alias("counter"))
+    opening = F.struct("slot", F.col("slot").alias("end"), F.lit(0.0).alias("counter"))
+    both = one.select(*CELL, "session", ticks.alias("tick"), F.when(F.row_number().over(w) == 1, opening).alias("opening"))
+    meter = both.select(*CELL, "session", F.explode(F.array_compact(F.array("opening", "tick"))).alias("x")).select(*CELL, "session", "x.*")
     return regular_grid.counter_segments(meter, CELL, start="slot", end="end", counter="counter", chunk="session")
 
 
@@ -79,7 +82,7 @@ def p3_rolling(spark: SparkSession, sf: str) -> DataFrame:
     """Per symbol and UTC day of the reading's slot: totals and averages over 7 and 30 days."""
     d = observations(read_table(spark, sf, "market_observation"), status=READING, times=("slot",), values=tuple(FIELDS)).filter("slot IS NOT NULL")
     day = F.date_from_unix_date(F.floor(slot_start_ms(F.col("timeframe"), F.col("slot")) / F.lit(float(DAY))).cast("int"))
-    exact = [F.sum(F.col(c).cast("decimal(28,8)")).alias(c) for c in FIELDS]
+    exact = [F.sum(F.col(c).cast("decimal(28,8)")).cast("decimal(36,8)").alias(c) for c in FIELDS]
     daily = d.groupBy("symbol", day.alias("day")).agg(F.count("*").alias("readings"), *exact, *[F.count(c).alias(f"n_{c}") for c in FIELDS])
     r = rolling.trailing_totals(daily, ["symbol"], "day", ["readings", *FIELDS, *[f"n_{c}" for c in FIELDS]], WINDOWS)
     cols = []
@@ -87,7 +90,7 @@ def p3_rolling(spark: SparkSession, sf: str) -> DataFrame:
         cols.append(F.col(f"readings_{w}"))
         for c in FIELDS:
             total = F.col(f"{c}_{w}").cast("double")
-            cols += [F.round(total, 4).alias(f"{c}_sum_{w}"), F.when(F.col(f"n_{c}_{w}") > 0, F.round(total / F.col(f"n_{c}_{w}"), 4)).alias(f"{c}_avg_{w}")]
+            cols += [total.alias(f"{c}_sum_{w}"), F.when(F.col(f"n_{c}_{w}") > 0, total / F.col(f"n_{c}_{w}")).alias(f"{c}_avg_{w}")]
     return r.select("symbol", "day", *cols)
 
 
