@@ -24,10 +24,11 @@ def counter_segments(df: DataFrame, keys: list[str], *, start: str, end: str, co
     against the last known one. Readings at equal positions are differenced in counter order.
     Rows with a null key or position are left out. Empty in, empty out.
 
-    The reading before a chunk's first one is carried in by a window over one row per chunk.
+    The reading before a chunk's first one is carried in by a window over one row per chunk. An input
+    already partitioned by keys and chunk is not shuffled again.
     """
     d = df.select(*keys, F.col(chunk).alias("_c"), F.col(start).cast("double").alias("_s"), F.col(end).cast("double").alias("_e"), F.col(counter).cast("double").alias("_v"))
-    d = d.dropna(subset=[*keys, "_c", "_e"]).repartition(*keys, "_c")
+    d = d.dropna(subset=[*keys, "_c", "_e"])
     last = d.groupBy(*keys, "_c").agg(F.max("_e").alias("_le"), F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col("_e"))).alias("_lv"), F.max("_s").alias("_ls"))
     over = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     carry = last.select(*keys, "_c", F.max("_le").over(over).alias("_pe0"), F.last("_lv", ignorenulls=True).over(over).alias("_pv0"), (F.col("_ls") > 0).alias("_t"))

@@ -214,7 +214,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    d = lateness.beyond_cutoff(_records(spark, sf), ["rec_table", "cell_id"], event="event", arrival="arrival", allowed="allowed")
+    d = lateness.beyond_cutoff(_records(spark, sf).drop("volume"), ["rec_table", "cell_id"], event="event", arrival="arrival", allowed="allowed")
     return d.filter("is_late").select("rec_table", "rec_id")
 
 

@@ -84,7 +84,7 @@ def _p3() -> str:
     for w in (7, 30):
         cols.append(f"CAST(sum(readings) OVER w{w} AS BIGINT) AS readings_{w}")
         for c in ("close_price", "volume", "high_price"):
-            total = f"CAST(sum({c}) OVER w{w} AS DOUBLE)"
+            total = f"CAST(CAST(sum({c}) OVER w{w} AS VARCHAR) AS DOUBLE)"  # by way of text: rounded correctly
             cols.append(f"coalesce({total}, 0) AS {c}_sum_{w}")
             cols.append(f"CASE WHEN sum(n_{c}) OVER w{w} > 0 THEN {total} / CAST(sum(n_{c}) OVER w{w} AS BIGINT) END AS {c}_avg_{w}")
     sums = ", ".join(f"sum(CAST({c} AS DECIMAL(28,8))) AS {c}, count({c}) AS n_{c}" for c in ("close_price", "volume", "high_price"))
