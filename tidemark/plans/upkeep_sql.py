@@ -87,7 +87,7 @@ def _p3() -> str:
             total = f"CAST(CAST(sum({c}) OVER w{w} AS VARCHAR) AS DOUBLE)"  # by way of text: rounded correctly
             cols.append(f"coalesce({total}, 0) AS {c}_sum_{w}")
             cols.append(f"CASE WHEN sum(n_{c}) OVER w{w} > 0 THEN {total} / CAST(sum(n_{c}) OVER w{w} AS BIGINT) END AS {c}_avg_{w}")
-    sums = ", ".join(f"sum(CAST({c} AS DECIMAL(28,8))) AS {c}, count({c}) AS n_{c}" for c in ("close_price", "volume", "high_price"))
+    sums = ", ".join(f"sum(CAST(CAST({c} AS VARCHAR) AS DECIMAL(28,8))) AS {c}, count({c}) AS n_{c}" for c in ("close_price", "volume", "high_price"))
     return f"""WITH {_obs(_READ)},
 daily AS (SELECT symbol, CAST(make_timestamp(slot * 1000) AS DATE) AS day, count(*) AS readings, {sums} FROM slotted GROUP BY ALL),
 span AS (SELECT symbol, min(day) AS lo, max(day) AS hi FROM daily GROUP BY ALL),
@@ -137,7 +137,7 @@ seen AS (SELECT *, max(event) OVER (PARTITION BY rec_table, cell_id ORDER BY arr
 P6_FOUND = f"WITH {_ARRIVALS} SELECT rec_table, rec_id FROM seen WHERE frontier - event > allowed"
 P6_DAYS = f"""WITH {_ARRIVALS},
 late AS (SELECT *, coalesce(frontier - event > allowed, FALSE) AS is_late, CAST(make_timestamp(event * 1000) AS DATE) AS day FROM seen WHERE rec_table = 'market_observation'),
-per AS (SELECT cell_id, day, count(*) FILTER (NOT is_late) AS n, CAST(sum(CAST(volume AS DECIMAL(28,8))) FILTER (NOT is_late) AS DOUBLE) AS volume,
+per AS (SELECT cell_id, day, count(*) FILTER (NOT is_late) AS n, CAST(sum(CAST(CAST(volume AS VARCHAR) AS DECIMAL(28,8))) FILTER (NOT is_late) AS DOUBLE) AS volume,
   count(*) FILTER (is_late) AS n_late, max(event) AS last, max(allowed) AS allowed FROM late GROUP BY ALL)
 SELECT cell_id, day, n, round(volume, 3) AS volume, n_late,
   CASE WHEN max(last) OVER (PARTITION BY cell_id) - epoch_ms(CAST(day + 1 AS TIMESTAMP)) > allowed THEN 'frozen' ELSE 'provisional' END AS state FROM per"""
