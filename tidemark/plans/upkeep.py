@@ -79,19 +79,26 @@ WINDOWS = (7, 30)
 
 
 def p3_rolling(spark: SparkSession, sf: str) -> DataFrame:
-    """Per symbol and UTC day of the reading's slot: totals and averages over 7 and 30 days."""
+    """Per symbol and UTC day of the reading's slot: totals and averages over 7 and 30 days.
+
+    Timeframes overlap, so each is also given by itself; timeframe ``all`` is the symbol's total.
+    """
     d = observations(read_table(spark, sf, "market_observation"), status=READING, times=("slot",), values=tuple(FIELDS)).filter("slot IS NOT NULL")
     day = F.date_from_unix_date(F.floor(slot_start_ms(F.col("timeframe"), F.col("slot")) / F.lit(float(DAY))).cast("int"))
     exact = [F.sum(F.col(c).cast("decimal(28,8)")).cast("decimal(36,8)").alias(c) for c in FIELDS]
-    daily = d.groupBy("symbol", day.alias("day")).agg(F.count("*").alias("readings"), *exact, *[F.count(c).alias(f"n_{c}") for c in FIELDS])
-    r = rolling.trailing_totals(daily, ["symbol"], "day", ["readings", *FIELDS, *[f"n_{c}" for c in FIELDS]], WINDOWS)
+    daily = d.groupBy(*CELL, day.alias("day")).agg(F.count("*").alias("readings"), *exact, *[F.count(c).alias(f"n_{c}") for c in FIELDS])
+    scopes = daily.withColumn("timeframe", F.explode(F.array("timeframe", F.lit("all"))))
+    parts = ["readings", *FIELDS, *[f"n_{c}" for c in FIELDS]]
+    kinds = dict(daily.dtypes)
+    daily = scopes.groupBy(*CELL, "day").agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in parts])
+    r = rolling.trailing_totals(daily, CELL, "day", ["readings", *FIELDS, *[f"n_{c}" for c in FIELDS]], WINDOWS)
     cols = []
     for w in WINDOWS:
         cols.append(F.col(f"readings_{w}"))
         for c in FIELDS:
             total = F.col(f"{c}_{w}").cast("double")
             cols += [total.alias(f"{c}_sum_{w}"), F.when(F.col(f"n_{c}_{w}") > 0, total / F.col(f"n_{c}_{w}")).alias(f"{c}_avg_{w}")]
-    return r.select("symbol", "day", *cols)
+    return r.select(*CELL, "day", *cols)
 
 
 # ---------------------------------------------------------------- 4 dangling references

@@ -89,13 +89,14 @@ def _p3() -> str:
             cols.append(f"CASE WHEN sum(n_{c}) OVER w{w} > 0 THEN {total} / CAST(sum(n_{c}) OVER w{w} AS BIGINT) END AS {c}_avg_{w}")
     sums = ", ".join(f"sum(CAST(CAST({c} AS VARCHAR) AS DECIMAL(28,8))) AS {c}, count({c}) AS n_{c}" for c in ("close_price", "volume", "high_price"))
     return f"""WITH {_obs(_READ)},
-daily AS (SELECT symbol, CAST(make_timestamp(slot * 1000) AS DATE) AS day, count(*) AS readings, {sums} FROM slotted GROUP BY ALL),
-span AS (SELECT symbol, min(day) AS lo, max(day) AS hi FROM daily GROUP BY ALL),
-days AS (SELECT symbol, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM span),
-dense AS (SELECT symbol, day, coalesce(readings, 0) AS readings, close_price, volume, high_price, coalesce(n_close_price, 0) AS n_close_price,
-  coalesce(n_volume, 0) AS n_volume, coalesce(n_high_price, 0) AS n_high_price FROM days LEFT JOIN daily USING (symbol, day))
-SELECT symbol, day, {', '.join(cols)} FROM dense
-WINDOW w7 AS (PARTITION BY symbol ORDER BY day ROWS 6 PRECEDING), w30 AS (PARTITION BY symbol ORDER BY day ROWS 29 PRECEDING)"""
+cells AS (SELECT * FROM slotted UNION ALL SELECT * REPLACE ('all' AS timeframe) FROM slotted),
+daily AS (SELECT symbol, timeframe, CAST(make_timestamp(slot * 1000) AS DATE) AS day, count(*) AS readings, {sums} FROM cells GROUP BY ALL),
+span AS (SELECT symbol, timeframe, min(day) AS lo, max(day) AS hi FROM daily GROUP BY ALL),
+days AS (SELECT symbol, timeframe, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM span),
+dense AS (SELECT symbol, timeframe, day, coalesce(readings, 0) AS readings, close_price, volume, high_price, coalesce(n_close_price, 0) AS n_close_price,
+  coalesce(n_volume, 0) AS n_volume, coalesce(n_high_price, 0) AS n_high_price FROM days LEFT JOIN daily USING (symbol, timeframe, day))
+SELECT symbol, timeframe, day, {', '.join(cols)} FROM dense
+WINDOW w7 AS (PARTITION BY symbol, timeframe ORDER BY day ROWS 6 PRECEDING), w30 AS (PARTITION BY symbol, timeframe ORDER BY day ROWS 29 PRECEDING)"""
 
 
 _REFS = """refs AS (
