@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import leakage
+from tidemark.llm import leakage, mixing
 from tidemark.sources.tables import read_table
 
 
@@ -21,5 +21,15 @@ def p8_report(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.groupBy("item_id", kind.alias("kind")).agg(F.countDistinct("doc_id").alias("documents"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_report)}
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixed blocks themselves, tokens included."""
+    return mixing.mixture(read_table(spark, sf, "documents"), read_table(spark, sf, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares reached per source."""
+    return mixing.mixture(read_table(spark, sf, "documents"), read_table(spark, sf, "mix_target"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p8_found, p8_report, p9_mixture, p9_shares)}
 ORACLE: dict[str, str] = {}
