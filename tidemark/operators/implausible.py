@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scan import with_halo
 from tidemark.sources.tables import materialize, small_side
 
 #: Sketch size; the rank error is about 0.2 %, far inside the bracket's margin.
@@ -98,11 +99,7 @@ def neighbourhoods(rows: DataFrame, keys: list[str], number: str, value: str, *,
     centred on the row, fewer at a key's ends.
     """
     halo = max(reach, run - 1)
-    n = F.col(number) - 1
-    own = F.floor(n / F.lit(float(CHUNK))).cast("long")
-    at = n % CHUNK
-    chunks = F.array_compact(F.array(own, F.when((at < halo) & (own > 0), own - 1), F.when(at >= CHUNK - halo, own + 1)))
-    d = rows.withColumn("_own", own).withColumn("_chunk", F.explode(chunks)).repartition(*keys, "_chunk")
+    d = with_halo(rows, keys, number, before=halo, after=halo, chunk=CHUNK)
     w = Window.partitionBy(*keys, "_chunk").orderBy(number)
     back = w.rowsBetween(-(run - 1), 0)
     ends = (F.count(value).over(back) == run) & (F.min(value).over(back) == F.max(value).over(back))

@@ -33,3 +33,19 @@ def running_max(
     inside = Window.partitionBy(*keys, b).orderBy(t).rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
     d = d.join(carry, [*keys, b], "left").withColumn("_local", F.max(value).over(inside))
     return d.withColumn(out, F.greatest("_local", "_carry")).drop(b, "_local", "_carry")
+
+
+def with_halo(df: DataFrame, keys: list[str], number: str, *, before: int, after: int = 0, chunk: int = 4096) -> DataFrame:
+    """Cut each key's rows, numbered from 1 by ``number``, into chunks for bounded windows.
+
+    Adds ``_chunk`` and ``_own``. A chunk also holds copies of the ``before`` rows ahead of it and the
+    ``after`` rows behind it (each at most ``chunk``), so any frame within those bounds, partitioned
+    by keys and ``_chunk`` and ordered by ``number``, sees what it would see over the whole key. Keep
+    the rows with ``_own = _chunk`` afterwards. A key that holds a third of all rows is spread over
+    its chunks; each row is copied at most twice.
+    """
+    n = F.col(number) - 1
+    own = F.floor(n / F.lit(float(chunk))).cast("long")
+    at = n % chunk
+    copies = F.array_compact(F.array(own, F.when((at < after) & (own > 0), own - 1), F.when(at >= chunk - before, own + 1)))
+    return df.withColumn("_own", own).withColumn("_chunk", F.explode(copies)).repartition(*keys, "_chunk")
