@@ -3,7 +3,7 @@
 Each feature is SQL text over o, h, l, c, v, oi and n (the bar's number in its cell). ``{p:k}`` stands
 for the value k bars ago of the column p, ``{20}`` for the frame of the last 20 bars with the
 current one, ``{-20}`` for the 20 bars before it and ``{+k}`` for the k bars after it. A feature is
-null until its frame is full. Divisions are guarded with nullif; results are rounded half up.
+null until its frame is full (a flag is false). Divisions are guarded with nullif; results are rounded half up.
 """
 
 from __future__ import annotations
@@ -20,18 +20,18 @@ CANDLE = {
     "body_size": "round(abs(c - o), 8)",
     "is_bullish": "CASE WHEN c >= o THEN 1 ELSE 0 END",
     "is_bearish": "CASE WHEN c < o THEN 1 ELSE 0 END",
-    "is_inside": "h < {h:1} AND l > {l:1}",
-    "is_outside": "h > {h:1} AND l < {l:1}",
+    "is_inside": "coalesce(h < {h:1} AND l > {l:1}, FALSE)",
+    "is_outside": "coalesce(h > {h:1} AND l < {l:1}, FALSE)",
     "log_return": "round(CASE WHEN c > 0 AND {c:1} > 0 THEN ln(c / {c:1}) END, 8)",
 }
 TR = "greatest(h - l, abs(h - {c:1}), abs(l - {c:1}))"
 TRAILING = {
     "true_range": f"CASE WHEN {{c:1}} IS NOT NULL THEN round({TR}, 8) END",
-    "sma_20": "CASE WHEN n >= 20 THEN round(avg(c) OVER {20}, 6) END",
+    "sma_20": "CASE WHEN n >= 20 THEN round(avg(c) OVER {20}, 9) END",
     "return_1": "round(c / nullif({c:1}, 0) - 1, 8)",
     "return_5": "round(c / nullif({c:5}, 0) - 1, 8)",
     "return_20": "round(c / nullif({c:20}, 0) - 1, 8)",
-    "vwap_20": "CASE WHEN n >= 20 THEN round(sum((h + l + c) / 3 * v) OVER {20} / nullif(sum(v) OVER {20}, 0), 6) END",
+    "vwap_20": "CASE WHEN n >= 20 THEN round(sum((h + l + c) / 3 * v) OVER {20} / nullif(sum(v) OVER {20}, 0), 8) END",
     "volume_z": "CASE WHEN n >= 20 THEN CASE WHEN stddev_pop(v) OVER {20} < 1e-12 THEN 0.0 ELSE round((v - avg(v) OVER {20}) / stddev_pop(v) OVER {20}, 6) END END",
     "volume_ratio_prev": "CASE WHEN n > 20 THEN round(v / nullif(avg(v) OVER {-20}, 0), 4) END",
     "range_z": "CASE WHEN n >= 20 THEN round((h - l - avg(h - l) OVER {20}) / nullif(stddev_pop(h - l) OVER {20}, 0), 6) END",
@@ -58,24 +58,24 @@ VOLATILITY = {
     "volatility_ratio": "CASE WHEN n > 50 THEN round(avg(tr) OVER {10} / nullif(avg(tr) OVER {50}, 0), 6) END",
     "atr_14": "CASE WHEN n > 14 THEN round(avg(tr) OVER {14}, 8) END",
     "normalized_range": "CASE WHEN n > 14 THEN round((h - l) / nullif(avg(tr) OVER {14}, 0), 6) END",
-    "compression": "CASE WHEN n > 50 THEN avg(tr) OVER {10} < 0.75 * avg(tr) OVER {50} END",
+    "compression": "coalesce(n > 50 AND avg(tr) OVER {10} < 0.75 * avg(tr) OVER {50}, FALSE)",
 }
 EVENTS = {
-    "swing_high": "n > 2 AND h > max(h) OVER {-2} AND h >= max(h) OVER {+2} AND count(*) OVER {+2} = 2",
-    "swing_low": "n > 2 AND l < min(l) OVER {-2} AND l <= min(l) OVER {+2} AND count(*) OVER {+2} = 2",
-    "gap_open": "n > 14 AND abs(o - {c:1}) > 1.8 * avg(tr) OVER {-14}",
+    "swing_high": "coalesce(n > 2 AND h > max(h) OVER {-2} AND h >= max(h) OVER {+2} AND count(*) OVER {+2} = 2, FALSE)",
+    "swing_low": "coalesce(n > 2 AND l < min(l) OVER {-2} AND l <= min(l) OVER {+2} AND count(*) OVER {+2} = 2, FALSE)",
+    "gap_open": "coalesce(n > 14 AND abs(o - {c:1}) > 1.8 * avg(tr) OVER {-14}, FALSE)",
     "fvg": "CASE WHEN n > 14 AND l - {h:2} >= 0.2 * avg(tr) OVER {14} THEN 'UP' WHEN n > 14 AND {l:2} - h >= 0.2 * avg(tr) OVER {14} THEN 'DOWN' END",
     "fvg_lower": "CASE WHEN l > {h:2} THEN {h:2} WHEN {l:2} > h THEN h END",
     "fvg_upper": "CASE WHEN l > {h:2} THEN l WHEN {l:2} > h THEN {l:2} END",
     "fvg_fill": "CASE WHEN l > {h:2} THEN round(least(1.0, greatest(0.0, (l - min(l) OVER {+96}) / nullif(l - {h:2}, 0))), 6) WHEN {l:2} > h THEN round(least(1.0, greatest(0.0, (max(h) OVER {+96} - h) / nullif({l:2} - h, 0))), 6) END",
-    "sweep_low": "n > 20 AND l < min(l) OVER {-20} AND c > min(l) OVER {-20}",
-    "sweep_high": "n > 20 AND h > max(h) OVER {-20} AND c < max(h) OVER {-20}",
-    "break_up": "n > 20 AND c > max(h) OVER {-20} AND c - max(h) OVER {-20} >= 0.3 * avg(tr) OVER {14}",
-    "break_down": "n > 20 AND c < min(l) OVER {-20} AND min(l) OVER {-20} - c >= 0.3 * avg(tr) OVER {14}",
-    "climax": "n > 20 AND v > 3 * avg(v) OVER {-20} AND h - l > 2 * avg(h - l) OVER {-20}",
-    "range_12": "n >= 12 AND max(h) OVER {12} - min(l) OVER {12} < 1.5 * avg(tr) OVER {14}",
+    "sweep_low": "coalesce(n > 20 AND l < min(l) OVER {-20} AND c > min(l) OVER {-20}, FALSE)",
+    "sweep_high": "coalesce(n > 20 AND h > max(h) OVER {-20} AND c < max(h) OVER {-20}, FALSE)",
+    "break_up": "coalesce(n > 20 AND c > max(h) OVER {-20} AND c - max(h) OVER {-20} >= 0.3 * avg(tr) OVER {14}, FALSE)",
+    "break_down": "coalesce(n > 20 AND c < min(l) OVER {-20} AND min(l) OVER {-20} - c >= 0.3 * avg(tr) OVER {14}, FALSE)",
+    "climax": "coalesce(n > 20 AND v > 3 * avg(v) OVER {-20} AND h - l > 2 * avg(h - l) OVER {-20}, FALSE)",
+    "range_12": "coalesce(n >= 12 AND max(h) OVER {12} - min(l) OVER {12} < 1.5 * avg(tr) OVER {14}, FALSE)",
     "forward_return_48": "round(last_value(c) OVER {+48} / nullif(c, 0) - 1, 8)",
-    "wash_like": "n > 20 AND v > 3 * avg(v) OVER {-20} AND abs((h - l - avg(h - l) OVER {-20}) / nullif(stddev_pop(h - l) OVER {-20}, 0)) < 0.5 AND abs(c - o) / nullif(h - l, 0) < 0.1",
+    "wash_like": "coalesce(n > 20 AND v > 3 * avg(v) OVER {-20} AND abs((h - l - avg(h - l) OVER {-20}) / nullif(stddev_pop(h - l) OVER {-20}, 0)) < 0.5 AND abs(c - o) / nullif(h - l, 0) < 0.1, FALSE)",
 }
 GROUPS = {"candle": (CANDLE, 1, 0), "trailing": (TRAILING, 48, 0), "volatility": (VOLATILITY, 51, 0), "events": (EVENTS, 21, 96)}
 #: Helper columns some features build on.

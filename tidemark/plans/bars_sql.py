@@ -1 +1,125 @@
-ORACLE: dict[str, str] = {}
+"""SQL of the bar queries for DuckDB."""
+
+from __future__ import annotations
+
+from tidemark.functions.features import DERIVED, GROUPS, expand
+from tidemark.plans.upkeep_sql import _LENGTH, _READ, _ms, _slot
+
+_NUM = ", ".join(f"CAST({a} AS DOUBLE) AS {b}" for a, b in zip(("open_price", "high_price", "low_price", "close_price", "volume", "open_interest"), ("o", "h", "l", "c", "v", "oi")))
+
+
+def _obs(status: str) -> str:
+    return f"""parsed AS (SELECT observation_id, symbol, timeframe, {_ms('open_time')} AS t_open, {_ms('close_time')} AS t_close, {_ms('retrieved_at')} AS t_got, {_NUM}
+  FROM market_observation WHERE {status}),
+once AS (SELECT * FROM parsed QUALIFY row_number() OVER (PARTITION BY observation_id ORDER BY t_got NULLS LAST) = 1)"""
+
+
+_BARS = f"""{_obs(_READ)},
+placed AS (SELECT *, {_slot('coalesce(t_open, t_close - 1)')} AS open_ms FROM once WHERE o IS NOT NULL AND h IS NOT NULL AND l IS NOT NULL AND c IS NOT NULL),
+bars AS (SELECT symbol, timeframe, open_ms, o, h, l, c, v, oi, {_LENGTH} AS len_ms,
+    row_number() OVER (PARTITION BY symbol, timeframe ORDER BY open_ms) AS n
+  FROM (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY symbol, timeframe, open_ms ORDER BY t_got DESC NULLS FIRST, observation_id DESC) = 1))"""
+_CELL = "symbol, timeframe"
+
+
+def _features(group: str) -> str:
+    cols = ", ".join(f"{expand(x, _CELL)} AS {n}" for n, x in GROUPS[group][0].items())
+    more = ", ".join(f"{expand(x, _CELL)} AS {n}" for n, x in DERIVED.items())
+    return f"WITH {_BARS}, more AS (SELECT *, {more} FROM bars) SELECT symbol, timeframe, open_ms, {cols} FROM more"
+
+
+def _seed(a: str, n: int) -> str:
+    return f"list_sum({a}[1:{n}]) / {n}"
+
+
+def _ema(a: str, n: int) -> str:
+    return f"list_reduce(list_concat([{_seed(a, n)}], {a}[{n + 1}:]), lambda s, x: s * (1 - 2.0::DOUBLE / {n + 1}) + x * (2.0::DOUBLE / {n + 1}))"
+
+
+def _rma(a: str, n: int) -> str:
+    return f"list_reduce(list_concat([{_seed(a, n)}], {a}[{n + 1}:]), lambda s, x: (s * {n - 1} + x) / {n})"
+
+
+_FOLDS = f"""WITH {_BARS},
+t AS (SELECT *, lag(c) OVER w AS pc FROM bars WINDOW w AS (PARTITION BY {_CELL} ORDER BY n)),
+u AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(h - l, abs(h - pc), abs(l - pc)) END AS tr FROM t),
+a AS (SELECT symbol, timeframe, open_ms, n, list(c) OVER w AS cs, list(tr) OVER w AS ts, list(greatest(c - pc, 0.0::DOUBLE)) OVER w AS ups, list(greatest(pc - c, 0.0::DOUBLE)) OVER w AS downs
+  FROM u WINDOW w AS (PARTITION BY {_CELL} ORDER BY n ROWS 59 PRECEDING)),
+f AS (SELECT symbol, timeframe, open_ms, {_ema('cs', 20)} AS ema_20, {_rma('cs', 14)} AS rma_14, {_rma('ts', 14)} AS atr_wilder, {_ema('cs', 12)} - {_ema('cs', 26)} AS macd,
+  {_rma('ups', 14)} AS up, {_rma('downs', 14)} AS down FROM a WHERE n > 60)
+SELECT symbol, timeframe, open_ms, round(ema_20, 6) AS ema_20, round(rma_14, 6) AS rma_14, round(atr_wilder, 8) AS atr_wilder, round(macd, 6) AS macd,
+  round(CASE WHEN down = 0 AND up = 0 THEN 50.0 WHEN down = 0 THEN 100.0 ELSE 100 - 100 / (1 + up / nullif(down, 0)) END, 6) AS rsi_14 FROM f"""
+
+_RESAMPLE = f"""WITH {_BARS}
+SELECT symbol, timeframe, CAST(make_timestamp(open_ms * 1000) AS DATE) AS day, arg_min(o, open_ms) AS o, max(h) AS h, min(l) AS l, arg_max(c, open_ms) AS c,
+  round(CAST(CAST(sum(CAST(CAST(v AS VARCHAR) AS DECIMAL(28,8))) AS VARCHAR) AS DOUBLE), 3) AS v, arg_max(oi, open_ms) FILTER (oi IS NOT NULL) AS oi, count(*) AS n, round(count(*) * max(len_ms) / 86400000.0::DOUBLE, 6) AS completeness
+FROM bars WHERE len_ms < 86400000 GROUP BY ALL"""
+
+_VALIDATION = f"""WITH {_obs('TRUE')}
+SELECT symbol, timeframe, CASE WHEN o IS NULL OR h IS NULL OR l IS NULL OR c IS NULL THEN 'NO_PRICE' WHEN t_close IS NULL AND t_open IS NULL THEN 'NO_TIME'
+  WHEN h < greatest(o, c, l) THEN 'HIGH_BELOW' WHEN l > least(o, c) THEN 'LOW_ABOVE' WHEN l <= 0 THEN 'NOT_POSITIVE' WHEN v IS NULL THEN 'NO_VOLUME' WHEN v < 0 THEN 'NEGATIVE_VOLUME'
+  WHEN oi < 0 THEN 'NEGATIVE_OI' WHEN t_open >= t_close THEN 'TIME_ORDER' ELSE 'OK' END AS code, count(*) AS n
+FROM once GROUP BY ALL"""
+
+_EXPECTED = """CASE max(timeframe) WHEN '1mo' THEN date_diff('month', make_timestamp(min(open_ms) * 1000), make_timestamp(max(open_ms) * 1000)) ELSE (max(open_ms) - min(open_ms)) // max(len_ms) END + 1"""
+_FRONTIER = f"""WITH {_BARS}, f AS (SELECT symbol, timeframe, max(open_ms) AS last_open_ms, count(*) AS n_bars, {_EXPECTED} AS n_expected, count(oi) AS n_oi FROM bars GROUP BY ALL)
+SELECT symbol, timeframe, last_open_ms, n_bars, CAST(n_expected AS BIGINT) AS n_expected, round(n_bars / CAST(n_expected AS DOUBLE), 6) AS completeness, n_oi FROM f"""
+
+_LAST = f"""WITH {_BARS} SELECT symbol, timeframe, open_ms, max(n) OVER (PARTITION BY {_CELL}) - n AS age, o, h, l, c, v FROM bars
+QUALIFY n > max(n) OVER (PARTITION BY {_CELL}) - 50"""
+
+_PROFILE = f"""WITH {_BARS},
+t AS (SELECT *, (h + l + c) / 3 AS tp FROM bars WHERE h >= l AND v >= 0 AND l > 0),
+s AS (SELECT *, min(tp) OVER (PARTITION BY {_CELL}) AS lo, max(tp) OVER (PARTITION BY {_CELL}) AS hi FROM t),
+b AS (SELECT symbol, timeframe, CAST(least(floor((tp - lo) / nullif(hi - lo, 0) * 50), 49) AS INTEGER) AS bin, CAST(CAST(v AS VARCHAR) AS DECIMAL(28,8)) AS v FROM s WHERE hi > lo),
+g AS (SELECT symbol, timeframe, bin, sum(v) AS volume FROM b GROUP BY ALL),
+r AS (SELECT *, row_number() OVER w AS rk, coalesce(sum(volume) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead, sum(volume) OVER (PARTITION BY {_CELL}) AS total
+  FROM g WINDOW w AS (PARTITION BY {_CELL} ORDER BY volume DESC, bin))
+SELECT symbol, timeframe, bin, round(CAST(CAST(volume AS VARCHAR) AS DOUBLE), 3) AS volume, rk = 1 AS is_poc, CAST(ahead AS DOUBLE) < CAST(total AS DOUBLE) * 0.7 AS in_value_area FROM r"""
+
+_SEASONAL = f"""WITH {_BARS},
+t AS (SELECT *, CASE WHEN c > 0 AND lag(c) OVER w > 0 THEN ln(c / lag(c) OVER w) END AS r FROM bars WINDOW w AS (PARTITION BY {_CELL} ORDER BY n)),
+g AS (SELECT symbol, timeframe, CAST((open_ms // 3600000) % 24 AS INTEGER) AS hour, count(*) AS n, sum(r * r) AS s, count(*) FILTER (r > 0) AS ups FROM t WHERE r IS NOT NULL GROUP BY ALL),
+p AS (SELECT *, sum(s) OVER w / CAST(sum(n) OVER w AS DOUBLE) AS grand, ups / CAST(n AS DOUBLE) AS p FROM g WINDOW w AS (PARTITION BY {_CELL})),
+q AS (SELECT *, (p + 3.8416::DOUBLE / (2 * n)) / (1 + 3.8416::DOUBLE / n) AS mid, 1.96::DOUBLE * sqrt(p * (1 - p) / n + 3.8416::DOUBLE / (4.0::DOUBLE * n * n)) / (1 + 3.8416::DOUBLE / n) AS half FROM p)
+SELECT symbol, timeframe, hour, n, round(least(greatest(s / n / nullif(grand, 0), 0.1), 10.0), 6) AS factor, round(p, 6) AS up_rate, round(mid - half, 6) AS up_low, round(mid + half, 6) AS up_high FROM q"""
+
+_SPREADS = f"""WITH {_BARS},
+a AS (SELECT symbol, timeframe, v, c, ln(h / l) AS hl, ln(c) AS lc, (ln(h) + ln(l)) / 2 AS eta, greatest(h, lag(h) OVER w) AS h2, least(l, lag(l) OVER w) AS l2, lag(c) OVER w AS pc, n
+  FROM bars WHERE h > 0 AND l > 0 AND c > 0 AND h >= l WINDOW w AS (PARTITION BY {_CELL} ORDER BY n)),
+b AS (SELECT *, lc - ln(pc) AS r, power(hl, 2) + power(lag(hl) OVER w, 2) AS beta, power(ln(h2 / l2), 2) AS gamma, lag(lc) OVER w AS plc, lag(eta) OVER w AS peta FROM a WINDOW w AS (PARTITION BY {_CELL} ORDER BY n)),
+d AS (SELECT *, (sqrt(2 * beta) - sqrt(beta)) / (3 - 2 * sqrt(2.0::DOUBLE)) - sqrt(gamma / (3 - 2 * sqrt(2.0::DOUBLE))) AS alpha, lag(r) OVER w AS pr, (plc - peta) * (plc - (peta + eta) / 2) AS mid FROM b WINDOW w AS (PARTITION BY {_CELL} ORDER BY n))
+SELECT symbol, timeframe, count(*) AS n, round(avg(greatest(0.0, 2 * (exp(alpha) - 1) / (1 + exp(alpha)))), 8) AS corwin_schultz, round(sqrt(greatest(0.0, 4 * avg(mid))), 8) AS abdi_ranaldo,
+  round(2 * sqrt(greatest(0.0, -covar_pop(r, pr))), 8) AS roll, round(avg(abs(r) / v) FILTER (v > 0) * 1e6, 6) AS amihud_1e6, round(regr_slope(c - pc, sign(r) * v) * 1e6, 6) AS kyle_1e6
+FROM d WHERE r IS NOT NULL GROUP BY ALL"""
+
+_TRANSITIONS = f"""WITH {_BARS},
+s AS (SELECT *, CASE WHEN c > o * 1.0005::DOUBLE THEN 'UP' WHEN c < o * 0.9995::DOUBLE THEN 'DOWN' ELSE 'FLAT' END AS state FROM bars),
+t AS (SELECT timeframe, state, lag(state) OVER (PARTITION BY {_CELL} ORDER BY n) AS prev FROM s),
+g AS (SELECT timeframe, prev, state, count(*) AS n FROM t WHERE prev IS NOT NULL GROUP BY ALL)
+SELECT timeframe, prev, state, n, round((n + 1) / CAST(sum(n) OVER (PARTITION BY timeframe, prev) + 3 AS DOUBLE), 6) AS rate FROM g"""
+
+_COARSER = f"""WITH {_BARS}, k AS (SELECT *, open_ms + len_ms AS close_ms FROM bars)
+SELECT f.symbol, f.open_ms, f.c, a.open_ms AS open_1h, a.c AS c_1h, b.open_ms AS open_1d, b.c AS c_1d FROM (SELECT * FROM k WHERE timeframe = '15m') f
+ASOF LEFT JOIN (SELECT * FROM k WHERE timeframe = '1h') a ON a.symbol = f.symbol AND f.close_ms >= a.close_ms
+ASOF LEFT JOIN (SELECT * FROM k WHERE timeframe = '1d') b ON b.symbol = f.symbol AND f.close_ms >= b.close_ms"""
+
+_QUALITY = f"""WITH {_BARS},
+q AS (SELECT DISTINCT quality_id, observation_id, q_raw FROM quality_vector WHERE q_raw IS NOT NULL AND NOT isnan(q_raw)),
+p AS (SELECT observation_id, symbol, timeframe, {_slot('coalesce(t_open, t_close - 1)')} AS open_ms FROM once),
+j AS (SELECT symbol, timeframe, q_raw AS q, exp(-0.05::DOUBLE * (top - n)) AS wt FROM q JOIN p USING (observation_id)
+  JOIN (SELECT *, max(n) OVER (PARTITION BY {_CELL}) AS top FROM bars) USING (symbol, timeframe, open_ms))
+SELECT symbol, timeframe, count(*) AS n, min(q) AS q_min, round(sum(q * wt) / nullif(sum(wt), 0), 6) AS q_window, min(q) < 0.5 AS is_vetoed FROM j GROUP BY ALL"""
+
+_AGREEMENT = """WITH e AS (SELECT DISTINCT evidence_id, snapshot_id, engine_id, event_type, confidence, strength FROM evidence_event WHERE snapshot_id <> '' AND validity = 1),
+p AS (SELECT snapshot_id, engine_id, count(*) AS k, sum(CAST(confidence AS DECIMAL(18,6))) AS s, max(strength) AS hi, min(strength) AS lo FROM e GROUP BY ALL)
+SELECT snapshot_id, CAST(sum(k) AS BIGINT) AS n, count(*) AS engines, round(CAST(CAST(sum(s) AS VARCHAR) AS DOUBLE) / sum(k), 6) AS mean_confidence, max(hi) - min(lo) AS strength_spread,
+  round(max(k) / CAST(sum(k) AS DOUBLE), 6) AS dominant_share FROM p GROUP BY ALL"""
+
+ORACLE = {
+    "bars_clean": f"WITH {_BARS} SELECT symbol, timeframe, open_ms, o, h, l, c, v, oi FROM bars",
+    **{f"features_{g}": _features(g) for g in GROUPS},
+    "features_folds": _FOLDS, "bars_resample_1d": _RESAMPLE, "bars_validation": _VALIDATION, "bars_frontier": _FRONTIER, "bars_last_window": _LAST,
+    "volume_profile": _PROFILE, "seasonal_factors": _SEASONAL, "spread_proxies": _SPREADS, "transition_matrix": _TRANSITIONS, "coarser_asof": _COARSER,
+    "window_quality": _QUALITY, "evidence_agreement": _AGREEMENT,
+}
