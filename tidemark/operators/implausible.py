@@ -63,7 +63,11 @@ def exact_medians(values: DataFrame, keys: list[str], value: str, sketches: Data
             break
         at = (F.col("n") / 2 - F.col("below")) / F.col("inside")
         big = (F.col("inside") > EXACT_ROWS) & (F.col("lo") < F.col("hi"))
-        bracket = counted.select(*keys, "n", F.when(big, q(F.greatest(at - MARGIN, F.lit(0.0)))).otherwise(F.col("lo")).alias("lo"), F.when(big, q(F.least(at + MARGIN, F.lit(1.0)))).otherwise(F.col("hi")).alias("hi"))
+        # ranks must be constants: of a grid of percentiles, the last below and the first above the middle
+        grid = F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(k / 100) for k in range(101)]))
+        down = F.greatest(F.floor((at - MARGIN) * 100), F.lit(0)).cast("int") + 1
+        up = F.least(F.ceil((at + MARGIN) * 100), F.lit(100)).cast("int") + 1
+        bracket = counted.withColumn("_g", F.when(big, grid)).select(*keys, "n", F.when(big, F.element_at("_g", down)).otherwise(F.col("lo")).alias("lo"), F.when(big, F.element_at("_g", up)).otherwise(F.col("hi")).alias("hi"))
     stats = counted.select(*keys, "n", "lo", "hi", "below")
     tally = values.filter(v.isNotNull()).select(*keys, v.cast("double").alias("_v")).join(small_side(stats), keys).filter(F.col("_v").between(F.col("lo"), F.col("hi"))).groupBy(*keys, "n", "below", "_v").agg(F.count("*").alias("_k"))
     upto = F.col("below") + F.sum("_k").over(Window.partitionBy(*keys).orderBy("_v"))
