@@ -210,7 +210,7 @@ def mix(blocks: DataFrame, targets: DataFrame, *, slots: int = SLOTS, seed: int
     used = out.join(blocks.select("source", "block_id", "n_tokens"), ["source", "block_id"]).groupBy("source").agg(F.count("*").alias("blocks_used"), F.sum("n_tokens").alias("tokens_used"), F.max(F.col("pass") + 1).alias("max_repeats"))
     goal = spark.createDataFrame([(s, plan[s]["share"] if s in plan else 0.0, plan[s]["stock"] if s in plan else 0) for s, _, _ in listed], "source string, target_share double, stock_blocks long")
     shares = goal.join(used, "source", "left").fillna(0, ["blocks_used", "tokens_used", "max_repeats"])
-    shares = shares.withColumn("reached_share", F.coalesce(F.col("tokens_used") / F.sum("tokens_used").over(Window.partitionBy(F.lit(0))), F.lit(0.0)))
+    shares = shares.withColumn("reached_share", F.coalesce(F.try_divide(F.col("tokens_used").cast("double"), F.sum("tokens_used").over(Window.partitionBy(F.lit(0)))), F.lit(0.0)))
     return out, shares.select("source", "target_share", "reached_share", "blocks_used", "tokens_used", "max_repeats", "stock_blocks")
 
 
