@@ -49,3 +49,17 @@ def with_halo(df: DataFrame, keys: list[str], number: str, *, before: int, after
     at = n % chunk
     copies = F.array_compact(F.array(own, F.when((at < after) & (own > 0), own - 1), F.when(at >= chunk - before, own + 1)))
     return df.withColumn("_own", own).withColumn("_chunk", F.explode(copies)).repartition(*keys, "_chunk")
+
+
+def running_sum(df: DataFrame, keys: list[str], number: str, value: str, out: str, *, chunk: int = 4096) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over a key's rows up to this one, rows numbered by ``number``.
+
+    Null values add nothing; rows with a null key or number are left out. As in :func:`running_max`
+    a window over one total per chunk carries earlier chunks in.
+    """
+    d = df.dropna(subset=[*keys, number]).withColumn("_b", F.floor(F.col(number) / F.lit(float(chunk))).cast("long")).repartition(*keys, "_b")
+    totals = d.groupBy(*keys, "_b").agg(F.sum(value).alias("_s"))
+    carry = totals.select(*keys, "_b", F.sum("_s").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    inside = F.sum(value).over(Window.partitionBy(*keys, "_b").orderBy(number).rowsBetween(Window.unboundedPreceding, 0))
+    zero = F.lit(0)
+    return d.withColumn("_in", inside).join(carry, [*keys, "_b"], "left").withColumn(out, F.coalesce("_in", zero) + F.coalesce("_carry", zero)).drop("_b", "_in", "_carry")
