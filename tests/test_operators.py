@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timegrid import instant_ms, number, slot_index, slot_start_ms
 from tidemark.operators import asof, hierarchy, implausible, lateness, orphans, regular_grid, rolling, scan
+from tidemark.plans import upkeep
 
 
 def rows(df):
@@ -154,3 +155,27 @@ def test_fences(spark):
     d = spark.createDataFrame([("k", i, float(i % 10)) for i in range(100)] + [("k", 200, 500.0), ("f", 1, 2.0), ("f", 2, 2.0), ("f", 3, None)], "k string, i int, v double")
     got = {(r["k"], r["i"]): (r["is_outside"], r["is_flat"]) for r in implausible.flag_by_fences(d, ["k"], "v", "i", F.lit(0), factor=3.0, rate=2.0).collect()}
     assert got["k", 200] == (True, False) and got["f", 1] == (False, True) and ("f", 3) not in got and not any(a for (k, i), (a, _) in got.items() if i < 200)
+
+
+def test_jumps_inside_the_fences(spark, monkeypatch):
+    monkeypatch.setattr(implausible, "CHUNK", 16)
+    slow = [abs(i % 40 - 20.0) for i in range(100)]  # neighbours differ by 1
+    slow[33:33] = [0.0]  # between 7 and 6: inside the fences, but no neighbour
+    data = [("k", f"r{i:03}", i + 1, v) for i, v in enumerate(slow)] + [("one", "x", 1, 3.0), ("two", "x", 1, 3.0), ("two", "y", 2, 9.0)]
+    d = spark.createDataFrame(data, "k string, id string, n int, v double")
+    for number in ("n", None):
+        got = {(r["k"], r["id"]): (r["is_outside"], r["is_jump"]) for r in implausible.flag_by_fences(d, ["k"], "v", "id", F.lit(0), factor=3.0, rate=4.0, number=number).collect()}
+        assert len(got) == len(data) and not any(a for a, _ in got.values())
+        assert sorted(k for k, (_, b) in got.items() if b) == [("k", "r033"), ("k", "r034")]
+
+
+def test_p5_fences_reports_flat_and_rated_values(spark, tmp_path):
+    text = ["observation_id", "symbol", "timeframe", "open_price", "high_price", "low_price", "close_price", "volume", "open_time", "close_time", "retrieved_at", "candle_status"]
+    obs = [(f"o{i:02}", "S", "1d", "10", "11", str(9 - i % 3 / 10), "10", str(100 + i % 5), str(i * 86_400_000), None, None, "CLOSED") for i in range(40)]
+    spark.createDataFrame(obs, ", ".join(f"{c} string" for c in text)).write.parquet(f"{tmp_path}/market_observation.parquet")
+    rates = [(f"q{i:02}", f"o{i:02}", 0.9 + i % 3 / 100 if i != 20 else 0.1) for i in range(40)]
+    spark.createDataFrame(rates, "quality_id string, observation_id string, q_ohlc double").write.parquet(f"{tmp_path}/quality_vector.parquet")
+    got = {(r["record_id"], r["field"]): (r["is_outside"], r["is_jump"], r["is_flat"]) for r in upkeep.p5_fences(spark, str(tmp_path)).collect()}
+    assert all(got[f"o{i:02}", "high_price"] == (False, False, True) for i in range(40))
+    assert got["q20", "q_ohlc"] == (True, True, False) and got["q21", "q_ohlc"] == (False, True, False)
+    assert len(got) == 42

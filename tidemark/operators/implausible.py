@@ -115,28 +115,40 @@ def neighbourhoods(rows: DataFrame, keys: list[str], number: str, value: str, *,
     return d.filter(F.col("_own") == F.col("_chunk")).withColumn("local_median", median).drop("_own", "_chunk", "_ends", "_near")
 
 
-def flag_by_fences(values: DataFrame, keys: list[str], value: str, order: str, context: Column, *, factor: float, rate: float) -> DataFrame:
+def flag_by_fences(values: DataFrame, keys: list[str], value: str, order: str, context: Column, *, factor: float, rate: float, number: str | None = None) -> DataFrame:
     """Flag each value against its own source's behaviour in its context.
 
     Result: keys, ``order``, ``value``, context, is_outside, is_jump, is_flat. Fences are those of
     the context where it has 30 values or more, else those of the whole source. ``is_jump``: the
-    value is more than ``rate`` times the source's fence width away from the fences' middle.
-    ``is_flat``: the context's quartiles are equal and so is the value (zero variance). Null values
-    are left out.
+    value differs from the preceding value of its source by more than ``rate`` times the source's
+    normal change, the third quartile of its absolute changes. ``is_flat``: the context's quartiles
+    are equal and so is the value (zero variance). Null values are left out.
+
+    ``number`` names the column that counts a key's non-null values from 1 in order; the preceding
+    value is met in chunks with a halo. Without it the values are counted along ``order``, a key in
+    one task.
     """
-    d = values.filter(F.col(value).isNotNull()).select(*keys, F.col(order), F.col(value), context.alias("context"))
-    by_context = materialize(source_sketches(values, keys, value, context), "sketches")
+    d = values.filter(F.col(value).isNotNull()).withColumn("context", context)
+    if number is None:
+        number = "_number"
+        d = numbered(d, keys, [order], F.lit(0), {number: value})
+    d = with_halo(d.select(*keys, order, value, "context", number), keys, number, before=1, chunk=CHUNK)
+    before = F.lag(value).over(Window.partitionBy(*keys, "_chunk").orderBy(number))
+    d = d.withColumn("_change", F.abs(F.col(value) - before)).filter("_own = _chunk")
+    d = materialize(d.select(*keys, order, value, "context", "_change"), "changes")
+    by_context = materialize(source_sketches(d, keys, value, F.col("context")), "sketches")
     whole = fences(merge_sketches(by_context, keys), keys, factor).select(*keys, *[F.col(c).alias(f"w_{c}") for c in ("q1", "q3", "low", "high")])
     own = fences(by_context.filter("n >= 30"), [*keys, "context"], factor)
-    both = materialize(by_context.select(*keys, "context").join(own, [*keys, "context"], "left").join(whole, keys), "fences")
+    normal = source_sketches(d, keys, "_change").select(*keys, F.kll_sketch_get_quantile_double("sketch", F.lit(0.75)).alias("normal"))
+    both = materialize(by_context.select(*keys, "context").join(own, [*keys, "context"], "left").join(whole, keys).join(normal, keys, "left"), "fences")
     for c in ("q1", "q3", "low", "high"):
         both = both.withColumn(c, F.coalesce(c, f"w_{c}"))
-    both = materialize(both.select(*keys, "context", "q1", "q3", "low", "high"), "fences")
+    both = materialize(both.select(*keys, "context", "q1", "q3", "low", "high", "normal"), "fences")
     j = d.join(small_side(both), [*keys, "context"])
-    v, width = F.col(value), F.col("high") - F.col("low")
+    v = F.col(value)
     return j.select(
         *keys, order, value, "context",
         ((v < F.col("low")) | (v > F.col("high"))).alias("is_outside"),
-        (F.abs(v - (F.col("low") + F.col("high")) / 2) > rate * width).alias("is_jump"),
+        F.coalesce(F.col("_change") > rate * F.col("normal"), F.lit(False)).alias("is_jump"),
         ((F.col("q1") == F.col("q3")) & (v == F.col("q1"))).alias("is_flat"),
     )

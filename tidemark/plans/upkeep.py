@@ -192,13 +192,26 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_fences(spark: SparkSession, sf: str) -> DataFrame:
-    """Readings outside their cell's expanded interquartile fences, by hour of day."""
+    """Values outside their cell's expanded interquartile fences by hour of day, jumps and flat values.
+
+    A price is judged by its distance from the bar's body, as in ``p5_found``, volume and q_ohlc as they are.
+    """
     d = materialize(_readings(spark, sf).filter("slot IS NOT NULL"), "readings")
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("value")) for f, c in {"high_price": "upper", "low_price": "lower", "volume": "volume"}.items()])
-    long = d.select("observation_id", *CELL, "slot", F.explode(pairs).alias("x")).select("observation_id", *CELL, "slot", "x.*")
+    q = read_table(spark, sf, "quality_vector").filter(F.col("quality_id").isNotNull() & F.col("q_ohlc").isNotNull() & ~F.isnan("q_ohlc"))
+    q = q.groupBy("quality_id", "observation_id").agg(F.min("q_ohlc").alias("q_ohlc"))
+    rated = q.join(d.select("observation_id", *CELL, "slot", "at"), "observation_id").select(F.col("quality_id").alias("record_id"), *CELL, "slot", "at", "q_ohlc")
+    own = d.select(F.col("observation_id").alias("record_id"), *CELL, "slot", "at", "upper", "lower", "volume")
+
+    def sequence(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+        block = F.floor(F.col("slot") / F.lit(SLOTS_PER_BLOCK)).cast("long")
+        n = implausible.numbered(rows, CELL, ["slot", "at", "record_id"], block, {f"n_{c}": c for c in fields.values()})
+        pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(c).alias("value"), F.col(f"n_{c}").alias("number")) for f, c in fields.items()])
+        return n.select("record_id", *CELL, "slot", F.explode(pairs).alias("x")).select("record_id", *CELL, "slot", "x.*")
+
+    long = sequence(own, {"high_price": "upper", "low_price": "lower", "volume": "volume"}).unionByName(sequence(materialize(rated, "rated"), {"q_ohlc": "q_ohlc"}))
     hour = (F.floor(slot_start_ms(F.col("timeframe"), F.col("slot")) / F.lit(3_600_000.0)) % 24).cast("int")
-    f = implausible.flag_by_fences(long, [*CELL, "field"], "value", "observation_id", hour, factor=6.0, rate=4.0)
-    return f.filter("is_outside OR is_jump").select(F.col("observation_id").alias("record_id"), "field", "context", "is_outside", "is_jump", "is_flat")
+    f = implausible.flag_by_fences(long, [*CELL, "field"], "value", "record_id", hour, factor=6.0, rate=4.0, number="number")
+    return f.filter("is_outside OR is_jump OR is_flat").select("record_id", "field", "context", "is_outside", "is_jump", "is_flat")
 
 
 # ---------------------------------------------------------------- 6 late records
