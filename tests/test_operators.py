@@ -179,3 +179,20 @@ def test_p5_fences_reports_flat_and_rated_values(spark, tmp_path):
     assert all(got[f"o{i:02}", "high_price"] == (False, False, True) for i in range(40))
     assert got["q20", "q_ohlc"] == (True, True, False) and got["q21", "q_ohlc"] == (False, True, False)
     assert len(got) == 42
+
+
+def test_p2_pairs_equal_brute_force(spark, tmp_path):
+    rnd = random.Random(5)
+    up = {f"n{i:02}": f"n{rnd.randrange(i):02}" if i else None for i in range(40)}
+    up |= {"l3": "l2", "l2": "l5", "l5": "l1", "l1": "l3", "t1": "l2", "t2": "t1", "t3": "t1", "t4": "l1", "self": "self", "s1": "self", "s2": "s1", "lost": "nowhere"}
+    spark.createDataFrame(list(up.items()), "revision_id string, parent_revision_id string").write.parquet(f"{tmp_path}/apex_risk_ladder_state.parquet")
+    spark.createDataFrame([("a", ""), ("b", "a"), (None, "a")], "payload_hash string, parent_hash string").write.parquet(f"{tmp_path}/ops_recovery_log.parquet")
+    want = {("ops_recovery_log", "a", "b", 1)}
+    for node in up:
+        seen, at = [node], up[node]
+        while at in up and at not in seen:
+            want.add(("apex_risk_ladder_state", at, node, len(seen)))
+            seen.append(at)
+            at = up[at]
+    got = [tuple(r) for r in upkeep.QUERIES["p2_pairs"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want

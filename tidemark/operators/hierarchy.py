@@ -85,8 +85,28 @@ def full_paths(links: DataFrame) -> DataFrame:
     return out.select("tbl", "node_id", F.element_at("path", 1).alias("root_id"), (F.size("path") - 1).alias("depth"), "path")
 
 
+def upward_paths(links: DataFrame) -> DataFrame:
+    """For every node its proper ancestors, farthest first, and itself last: tbl, node_id, root_id, depth, path.
+
+    As :func:`full_paths`, with the nodes on and under loops too. Their loop is cut above its smallest
+    node, and the members that the cut hides are put back in front: going up, they are met last.
+    So each other node of the loop is an ancestor once, at its least distance. root_id is then the
+    loop's smallest node and ``depth`` the number of ancestors.
+    """
+    heads = resolve(links).filter("depth = -1 AND node_id = root_id").select("tbl", "node_id", F.lit(True).alias("_head"))
+    marked = materialize(links.join(heads, ["tbl", "node_id"], "left"), "marked")
+    cut = marked.select("tbl", "node_id", F.when(F.col("_head").isNull(), F.col("parent_id")).alias("parent_id"))
+    paths = materialize(full_paths(cut), "cut")
+    closing = marked.filter("_head").select("tbl", F.col("parent_id").alias("node_id"))
+    rings = paths.join(closing, ["tbl", "node_id"]).select("tbl", "root_id", F.col("path").alias("_ring"))
+    shared = F.size(F.array_intersect("path", "_ring"))
+    whole = F.when(F.col("_ring").isNull(), F.col("path")).otherwise(F.concat(F.slice("_ring", shared + 1, F.size("_ring") - shared), "path"))
+    d = paths.join(rings, ["tbl", "root_id"], "left").select("tbl", "node_id", "root_id", whole.alias("path"))
+    return d.select("tbl", "node_id", "root_id", (F.size("path") - 1).alias("depth"), "path")
+
+
 def ancestor_pairs(paths: DataFrame) -> DataFrame:
-    """Every (ancestor, descendant) pair with its distance, from :func:`full_paths`; no node is its own."""
+    """Every (ancestor, descendant) pair with its distance, from :func:`full_paths` or :func:`upward_paths`; no node is its own."""
     pairs = paths.select("tbl", F.col("node_id").alias("descendant_id"), "depth", F.posexplode("path").alias("_at", "ancestor_id"))
     return pairs.filter(F.col("_at") < F.col("depth")).select("tbl", "ancestor_id", "descendant_id", (F.col("depth") - F.col("_at")).alias("distance"))
 

@@ -67,6 +67,11 @@ def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.descendant_counts(links, hierarchy.full_paths(links))
 
 
+def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All descendants of every node, those on and under loops included."""
+    return hierarchy.ancestor_pairs(hierarchy.upward_paths(_links(spark, sf))).select("tbl", "ancestor_id", "descendant_id", "distance")
+
+
 def p2_loops(spark: SparkSession, sf: str) -> DataFrame:
     nodes = hierarchy.resolve(_links(spark, sf)).filter("depth = -1")
     return nodes.groupBy("tbl", F.col("root_id").alias("loop_id")).agg(F.count("*").alias("n_nodes"))
@@ -266,4 +271,4 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return out.filter("observation_id IS NOT NULL").select("evidence_id", "observation_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_paths, p2_descendants, p2_loops, p3_rolling, p4_found, p4_report, p5_found, p5_fences, p6_found, p6_days, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p2_found, p2_paths, p2_descendants, p2_pairs, p2_loops, p3_rolling, p4_found, p4_report, p5_found, p5_fences, p6_found, p6_days, p7_found)}
