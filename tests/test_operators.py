@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timegrid import instant_ms, number, slot_index, slot_start_ms
 from tidemark.operators import asof, hierarchy, implausible, lateness, orphans, regular_grid, rolling, scan
-from tidemark.plans import upkeep
+from tidemark.plans import research, upkeep
 
 
 def rows(df):
@@ -196,3 +196,18 @@ def test_p2_pairs_equal_brute_force(spark, tmp_path):
             at = up[at]
     got = [tuple(r) for r in upkeep.QUERIES["p2_pairs"](spark, str(tmp_path)).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_one_trade_at_a_time_equals_a_walk(spark, monkeypatch):
+    monkeypatch.setattr(research, "SPAN", 64)
+    rnd = random.Random(6)
+    # signals at 1 to 700, and after a hole of several spans; holds up to the longest reach over borders
+    data = [(s, "1h", n, rnd.choice([1, 5, 47, 48]), float(n)) for s in "ab" for n in sorted(rnd.sample([*range(1, 700), *range(1200, 1300)], 300))] + [("c", "1h", 64, 48, 0.0), ("c", "1h", 112, 1, 1.0), ("c", "1h", 113, 1, 2.0), ("c", "1h", 114, 1, 3.0)]
+    d = spark.createDataFrame(data, "symbol string, timeframe string, n long, held int, r double")
+    want, free = [], {}
+    for s, t, n, held, r in sorted(data):
+        if n >= free.get(s, 0):
+            want.append((s, t, n, held, r))
+            free[s] = n + held + 1
+    assert rows(research.one_at_a_time(d).select("symbol", "timeframe", "n", "held", "r")) == want
+    assert research.one_at_a_time(d.limit(0)).count() == 0
