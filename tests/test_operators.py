@@ -3,13 +3,13 @@
 import random
 import statistics
 from collections import defaultdict
-from datetime import date
+from datetime import date, datetime, timezone
 
 from pyspark.sql import functions as F
 
 from tidemark.functions.timegrid import instant_ms, number, slot_index, slot_start_ms
 from tidemark.operators import asof, hierarchy, implausible, lateness, orphans, regular_grid, rolling, scan
-from tidemark.plans import research, upkeep
+from tidemark.plans import bars, research, upkeep
 
 
 def rows(df):
@@ -211,3 +211,27 @@ def test_one_trade_at_a_time_equals_a_walk(spark, monkeypatch):
             free[s] = n + held + 1
     assert rows(research.one_at_a_time(d).select("symbol", "timeframe", "n", "held", "r")) == want
     assert research.one_at_a_time(d.limit(0)).count() == 0
+
+
+def test_coarser_bars_of_every_timeframe(spark, tmp_path):
+    at = lambda *x: int(datetime(*x, tzinfo=timezone.utc).timestamp() * 1000)
+    order = ["1m", "3m", "5m", "15m", "30m", "1h", "2h", "4h", "6h", "8h", "12h", "1d", "1w", "1mo"]
+    day, length = 86_400_000, dict(zip(order[:13], (60_000, 180_000, 300_000, 900_000, 1_800_000, 3_600_000, 7_200_000, 14_400_000, 21_600_000, 28_800_000, 43_200_000, 86_400_000, 604_800_000)))
+    have = []  # timeframe, open, close
+    for tf in order[:12]:
+        first = at(2024, 1, 29) // length[tf] * length[tf]
+        have += [(tf, first + i * length[tf], first + (i + 1) * length[tf]) for i in range(max(4, 4 * day // length[tf] if length[tf] >= 3_600_000 else 4))]
+    have += [("1w", at(2024, 1, d), at(2024, 1, d) + 7 * day) for d in (15, 22, 29)] + [("1mo", at(2023, 12, 1), at(2024, 1, 1)), ("1mo", at(2024, 1, 1), at(2024, 2, 1))]
+    names = ["observation_id", "symbol", "timeframe", "open_price", "high_price", "low_price", "close_price", "volume", "open_interest", "open_time", "close_time", "retrieved_at", "candle_status"]
+    obs = [(f"o{i}", "S", tf, "1", "999", "1", str(i), "1", None, str(o), None, None, "CLOSED") for i, (tf, o, _) in enumerate(have)]
+    spark.createDataFrame(obs, ", ".join(f"{c} string" for c in names)).write.parquet(f"{tmp_path}/market_observation.parquet")
+    want = []
+    for i, (tf, o, c) in enumerate(have):
+        k, found = order.index(tf), []
+        for up in (order[min(k + 2, 13)], order[min(k + 4, 13)]) if tf != "1mo" else (None, None):
+            found += [up, *max([(o2, float(j)) for j, (tf2, o2, c2) in enumerate(have) if tf2 == up and c2 <= c], default=(None, None))]
+        want.append((tf, o, float(i), *found))
+    got = bars.QUERIES["coarser_all"](spark, str(tmp_path)).select("timeframe", "open_ms", "c", "tf_mid", "open_mid", "c_mid", "tf_high", "open_high", "c_high")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+    # the day that ends on 31 January does not know January's bar; the next one that ends in February does
+    assert got.filter(f"timeframe = '1d' AND open_ms = {at(2024, 1, 30)}").first()["open_mid"] == at(2023, 12, 1)

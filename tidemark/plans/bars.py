@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.features import DERIVED, GROUPS, expand
-from tidemark.functions.timegrid import DAY, length_ms, slot_start_ms
+from tidemark.functions.timegrid import DAY, LENGTH_MS, length_ms, slot_start_ms
 from tidemark.operators.implausible import numbered
 from tidemark.operators.scan import with_halo
 from tidemark.plans.market import CELL, FAR, READING, observations
-from tidemark.sources.tables import read_table
+from tidemark.sources.tables import materialize, read_table
 
 _VALUES = ("open_price", "high_price", "low_price", "close_price", "volume", "open_interest")
 _SHORT = ("o", "h", "l", "c", "v", "oi")
@@ -189,6 +189,33 @@ def coarser_asof(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", "bar.open_ms", "bar.c", "open_1h", "c_1h", "open_1d", "c_1d")
 
 
+def coarser_pair(timeframe: str) -> tuple[str | None, str | None]:
+    """Intermediate and higher timeframe of one: two steps up (else one) and four (else the coarsest)."""
+    order = list(LENGTH_MS)
+    i, last = order.index(timeframe), len(order) - 1
+    return (order[i + 2 if i + 2 <= last else last], order[min(i + 4, last)]) if i < last else (None, None)
+
+
+def coarser_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Each bar of any timeframe with the last intermediate and the last higher bar of its symbol that had closed when it closed.
+
+    A bar closes where the next slot starts; the coarsest timeframe has neither.
+    """
+    from tidemark.operators.asof import known_at
+
+    d = bars(spark, sf).withColumn("close_ms", slot_start_ms(F.col("timeframe"), F.col("slot") + 1))
+    d = materialize(d.select(*CELL, "open_ms", "close_ms", "c"), "bars")
+    out = d
+    for k, role in enumerate(("mid", "high")):
+        # no wanted timeframe is a key that no bar has: such bars come out with nulls
+        wanted = F.create_map(*[F.lit(x) for tf in LENGTH_MS for x in (tf, coarser_pair(tf)[k] or "")])[F.col("timeframe")]
+        coarse = d.select("symbol", F.col("timeframe").alias("wanted"), F.col("close_ms").alias("available"), F.col("open_ms").alias(f"open_{role}"), F.col("c").alias(f"c_{role}"))
+        events = out.select("symbol", wanted.alias("wanted"), "close_ms", F.struct(*out.columns).alias("keep"))
+        out = known_at(events, coarse, ["symbol", "wanted"], at="close_ms", available="available", rank=[f"open_{role}", f"c_{role}"], keep="keep", bucket=30 * DAY)
+        out = out.select("keep.*", F.nullif("wanted", F.lit("")).alias(f"tf_{role}"), f"open_{role}", f"c_{role}")
+    return out.drop("close_ms")
+
+
 def window_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Per symbol and timeframe: least and freshness-weighted quality of the rated readings, newest first."""
     d = numbered_bars(spark, sf).select(*CELL, "slot", "n")
@@ -211,6 +238,6 @@ QUERIES = {
     "bars_clean": lambda s, d: bars(s, d).select(*CELL, "open_ms", *_SHORT),
     **{f"features_{g}": _group(g) for g in GROUPS},
     "features_folds": folds, "bars_resample_1d": resample_1d, "bars_validation": validation, "bars_frontier": frontier, "bars_last_window": last_window,
-    "volume_profile": volume_profile, "seasonal_factors": seasonal, "spread_proxies": spreads, "transition_matrix": transitions, "coarser_asof": coarser_asof,
+    "volume_profile": volume_profile, "seasonal_factors": seasonal, "spread_proxies": spreads, "transition_matrix": transitions, "coarser_asof": coarser_asof, "coarser_all": coarser_all,
     "window_quality": window_quality, "evidence_agreement": evidence_agreement,
 }
