@@ -76,6 +76,16 @@ def test_mixture(spark):
     assert none[0].count() == 0 and none[1].filter("reached_share > 0").count() == 0
 
 
+def test_shares_are_of_tokens(spark):
+    # the rare source's blocks are half as long: it needs twice the slots
+    d = spark.createDataFrame([("big", i, 128) for i in range(4000)] + [("rare", i, 128 if i % 4 == 0 else 43) for i in range(1600)], "source string, block_id long, n_tokens int")
+    targets = spark.createDataFrame([("big", 0.9, 2), ("rare", 0.1, 2)], "source string, target_share double, repeat_cap int")
+    out, shares = mixing.mix(d, targets, slots=64)
+    got = {r["source"]: r for r in shares.collect()}
+    assert abs(got["rare"]["reached_share"] - 0.1) < 0.003 and got["rare"]["target_share"] == 0.1
+    assert got["big"]["max_repeats"] <= 2 and out.groupBy("source", "block_id").count().filter("count > 2").count() == 0
+
+
 ABUSE = ["you are a worthless {} and nobody wants you here", "shut your mouth you {}", "f*ck off you {}", "what a {}, i hope you rot", "kill yourself, {}"]
 NAMES = ["idiot", "m0r0n", "scuuuumbag", "b*st*rd", "d-u-m-b-a-s-s", "mоrоn"]
 FINE = ["I feel like an idiot for missing {}", "The page says that words like idiot or moron get a message removed near {}", "ops had to kill the child process of {}", "good call on {} yesterday, thanks", "Strip hedge on {} was executed"]

@@ -118,26 +118,30 @@ def pack_blocks(documents: DataFrame, *, source: str = "source", doc_id: str = "
     return packed.join(small_side(offsets), ["source", "bucket"]).select("source", (F.col("first") + F.col("local")).alias("block_id"), "n_tokens", "doc_ids", "tokens")
 
 
-def plan_shares(stock: list[tuple[str, int]], targets: list[tuple[str, float, int]], slots: int) -> tuple[int, dict[str, dict]]:
+def plan_shares(stock: list[tuple[str, int, int]], targets: list[tuple[str, float, int]], slots: int) -> tuple[int, dict[str, dict]]:
     """Number of shards and, per source, normalised share, stock of blocks, cap and quota of slots.
 
-    Shares are taken relative to the sum over targets that have stock (the rest cannot be met and is
-    reported with 0). The size is the largest at which no source needs more than cap * stock blocks;
-    quotas are the shares of it, rounded by largest remainders within the caps.
+    ``stock`` has source, blocks and tokens. Shares are of tokens, relative to the sum over targets that
+    have stock (the rest cannot be met and is reported with 0). As a source's blocks are shorter the
+    more of its buckets end in a short one, its share of the slots is its share of tokens divided by
+    the mean size of its blocks. The size is the largest at which no source needs more than
+    cap * stock blocks; quotas are the slots' shares of it, rounded by largest remainders within the caps.
     """
-    have = {s: n for s, n in stock if n > 0}
+    have = {s: n for s, n, t in stock if n > 0 and t > 0}
+    mean = {s: t / n for s, n, t in stock if n > 0}
     live = {s: (share, cap) for s, share, cap in targets if s in have and share and share > 0 and cap and cap > 0}
     total = sum(share for share, _ in live.values())
-    plan = {s: {"share": share / total, "stock": have[s], "cap": int(cap)} for s, (share, cap) in live.items()}
+    slotted = sum(share / mean[s] for s, (share, _) in live.items())
+    plan = {s: {"share": share / total, "slots": share / mean[s] / slotted, "stock": have[s], "cap": int(cap)} for s, (share, cap) in live.items()}
     if not plan:
         return 0, plan
-    shards = int(min(p["cap"] * p["stock"] / p["share"] for p in plan.values())) // slots
+    shards = int(min(p["cap"] * p["stock"] / p["slots"] for p in plan.values())) // slots
     shards = max(1, shards) if sum(p["cap"] * p["stock"] for p in plan.values()) >= slots else 0
     size = shards * slots
     for p in plan.values():
-        p["quota"] = min(int(p["share"] * size), p["cap"] * p["stock"])
+        p["quota"] = min(int(p["slots"] * size), p["cap"] * p["stock"])
     while (open_ := size - sum(p["quota"] for p in plan.values())) > 0:
-        room = sorted((s for s, p in plan.items() if p["quota"] < p["cap"] * p["stock"]), key=lambda s: (plan[s]["quota"] - plan[s]["share"] * size, s))
+        room = sorted((s for s, p in plan.items() if p["quota"] < p["cap"] * p["stock"]), key=lambda s: (plan[s]["quota"] - plan[s]["slots"] * size, s))
         for s in room[:open_]:
             plan[s]["quota"] += 1
     return shards, plan
@@ -173,7 +177,7 @@ def mix(blocks: DataFrame, targets: DataFrame, *, slots: int = SLOTS, seed: int
     spark = blocks.sparkSession
     listed = [tuple(r) for r in targets.filter("source IS NOT NULL").groupBy("source").agg(F.min("target_share"), F.min("repeat_cap")).orderBy("source").collect()]
     wanted = spark.createDataFrame([(s, s) for s, _, _ in listed] or [("", "")], "source string, listed string").select("source")
-    counts = blocks.join(F.broadcast(wanted), "source", "left_semi").groupBy("source").agg(F.count("*")).collect()
+    counts = blocks.join(F.broadcast(wanted), "source", "left_semi").groupBy("source").agg(F.count("*"), F.sum("n_tokens")).collect()
     shards, plan = plan_shares([tuple(r) for r in counts], listed, slots)
     names = sorted(plan)
     quotas = [plan[s]["quota"] for s in names]
