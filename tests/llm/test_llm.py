@@ -47,10 +47,16 @@ def test_common_equals_dynamic_programme():
 
 def test_permutation_and_draws():
     for size in (1, 2, 7, 100):
-        assert sorted(mixing.permuted(i, size, 3) for i in range(size)) == list(range(size))
-    quotas = [100, 37, 183]
-    got = np.array([mixing.draw_counts(i, 5, 64, quotas, 0) for i in range(5)])
-    assert got.sum(axis=0).tolist() == quotas and got.sum(axis=1).tolist() == [64] * 5
+        got = mixing.permuted(np.arange(size), size, 3)
+        assert sorted(got) == list(range(size)) and [mixing._position(int(x), size, np.uint64(3)) for x in got] == list(range(size))
+    quotas = [100, 37, 180]
+    whole = mixing.draw_counts(0, 5, 317, 64, quotas, 0)
+    assert [r for i in range(5) for r in mixing.draw_counts(i, i + 1, 317, 64, quotas, 0)] == whole
+    assert np.sum([n for _, n, _ in whole], axis=0).tolist() == quotas and [sum(n) for _, n, _ in whole] == [64, 64, 64, 64, 61]
+    assert [b for _, _, b in whole][-1] == [q - n for q, n in zip(quotas, whole[-1][1])]
+    rng = np.random.default_rng(1)
+    far = [mixing._hypergeometric(rng, 6 * 10**9, 4 * 10**9, 10**9) for _ in range(50)]
+    assert abs(np.mean(far) - 6 * 10**8) < 20_000 and 5_000 < np.std(far) < 40_000
 
 
 @pytest.mark.skipif(not Path(mixing.TOKENIZER).exists(), reason="no vocabulary files")
@@ -60,12 +66,14 @@ def test_mixture(spark):
     docs += [(900, "c", "unlisted source"), (901, None, "no source"), (902, "a", None), (903, "a", "")]
     d = spark.createDataFrame([(i, s, t, 1) for i, s, t in docs], "doc_id long, source string, text string, tokens int")
     blocks = mixing.pack_blocks(d, block=16).collect()
+    key = lambda rows: sorted((r["source"], r["block_id"], r["n_tokens"], r["doc_ids"], r["tokens"]) for r in rows)
+    assert key(blocks) == key(mixing.pack_blocks(d.repartition(7), block=16, bucket_docs=3).collect())
     enc = mixing._encoding(mixing.TOKENIZER)
     for s in "ab":
         own = [r for r in blocks if r["source"] == s]
         assert sorted(r["block_id"] for r in own) == list(range(len(own)))
         assert sum(r["n_tokens"] for r in own) == sum(len(enc.encode_ordinary(t)) for _, x, t in docs if x == s and t)
-        assert all(r["n_tokens"] == len(r["tokens"]) <= 16 for r in own)
+        assert all(r["n_tokens"] == len(r["tokens"]) <= 16 for r in own) and sum(r["n_tokens"] < 16 for r in own) <= 1
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.3, 3), ("gone", 0.2, 1)], "source string, target_share double, repeat_cap int")
     rows, shares = mixing.mixture(d, targets, block=16, slots=8)
     got = {r["source"]: r for r in shares.collect()}
@@ -77,13 +85,13 @@ def test_mixture(spark):
 
 
 def test_shares_are_of_tokens(spark):
-    # the rare source's blocks are half as long: it needs twice the slots
-    d = spark.createDataFrame([("big", i, 128) for i in range(4000)] + [("rare", i, 128 if i % 4 == 0 else 43) for i in range(1600)], "source string, block_id long, n_tokens int")
-    targets = spark.createDataFrame([("big", 0.9, 2), ("rare", 0.1, 2)], "source string, target_share double, repeat_cap int")
+    # the rare source's last block is short, which weighs as it has two blocks only
+    d = spark.createDataFrame([("big", i, 128) for i in range(4000)] + [("rare", 0, 128), ("rare", 1, 40)], "source string, block_id long, n_tokens int")
+    targets = spark.createDataFrame([("big", 0.9, 2), ("rare", 0.1, 3)], "source string, target_share double, repeat_cap int")
     out, shares = mixing.mix(d, targets, slots=64)
     got = {r["source"]: r for r in shares.collect()}
-    assert abs(got["rare"]["reached_share"] - 0.1) < 0.003 and got["rare"]["target_share"] == 0.1
-    assert got["big"]["max_repeats"] <= 2 and out.groupBy("source", "block_id").count().filter("count > 2").count() == 0
+    assert got["rare"]["tokens_used"] == 3 * 168 and abs(got["rare"]["reached_share"] - 0.1) < 0.002 and got["rare"]["target_share"] == 0.1
+    assert out.groupBy("source", "block_id").count().filter("count > 3").count() == 0
 
 
 ABUSE = ["you are a worthless {} and nobody wants you here", "shut your mouth you {}", "f*ck off you {}", "what a {}, i hope you rot", "kill yourself, {}"]
