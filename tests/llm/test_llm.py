@@ -34,6 +34,38 @@ def test_leaks(spark):
     assert leakage.find_leaks(d.limit(0), items).count() == 0 and leakage.find_leaks(d, items.limit(0)).count() == 0
 
 
+def test_short_items(spark):
+    d = spark.createDataFrame([(1, "see the too short note"), (2, "a nothing here"), (3, "one two x three and four five"), (4, "one three five")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "too short"), (2, "zebra"), (3, "one two three four five"), (4, "")], "item_id long, text string")
+    got = leakage.find_leaks(d, items).filter("coverage >= 0.6").select("doc_id", "item_id").collect()
+    assert {tuple(r) for r in got} == {(1, 1), (3, 3), (4, 3)}
+
+
+def test_recall_of_changed_copies(spark):
+    """Copies in which every k-th word, or words at random, are changed, against the plain longest passage."""
+    rnd = random.Random(3)
+    pool = [f"w{i}" for i in range(600)]
+    items = [(i, " ".join(rnd.choice(pool) for _ in range(rnd.randrange(20, 60)))) for i in range(20)]
+    docs, kept = [], {}
+    for i, t in items:
+        ws = t.split()
+        for k in (3, 4, 5, 6, 8):
+            kept[len(docs), i] = 1 - len(range(k - 1, len(ws), k)) / len(ws)
+            docs.append((len(docs), FILLER + " ".join("changed" if j % k == k - 1 else w for j, w in enumerate(ws)) + " " + FILLER))
+        for share in (0.62, 0.7, 0.8):
+            stay = set(rnd.sample(range(len(ws)), int(len(ws) * share) + 1))
+            kept[len(docs), i] = len(stay) / len(ws)
+            docs.append((len(docs), FILLER + " ".join(w if j in stay else "changed" for j, w in enumerate(ws)) + " " + FILLER))
+        ws2 = ws[: len(ws) // 3] + ws[len(ws) // 2 :]  # a part torn out
+        kept[len(docs), i] = len(ws2) / len(ws)
+        docs.append((len(docs), FILLER + " ".join(ws2)))
+    got = leakage.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    found = {(r["doc_id"], r["item_id"]) for r in got.filter("coverage >= 0.6").collect()}
+    want = {k for k, share in kept.items() if share >= 0.6}
+    missed = {k: kept[k] for k in want - found}
+    assert all(d in {a for a, _ in kept} for d, _ in found) and len(want) > 150 and not missed, missed
+
+
 def test_common_equals_dynamic_programme():
     rnd = random.Random(5)
     for _ in range(40):
@@ -101,29 +133,67 @@ FINE = ["I feel like an idiot for missing {}", "The page says that words like id
 
 def test_read_word():
     assert [abuse.read_word(w)[0] for w in ("IDIOT", "wh0re", "b*st*rd", "scuuuumbag", "crétin", "deep", "took")] == ["idiot", "whore", "bastard", "scumbag", "cretin", "deep", "took"]
-    assert len(abuse.features(None)) == len(abuse.features("x" * 100_000)) == len(abuse.FEATURES)
+    assert len(abuse.read_text(None)[0]) == len(abuse.read_text("x" * 100_000)[0]) == len(abuse.read_text("you idiot. " * 50_000)[0]) == len(abuse.FEATURES)
 
 
 def test_isotonic():
     x, p = abuse.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert (np.diff(p) >= 0).all() and np.interp([2.5], x, p)[0] == 0.5
+    # equal scores are one knot, whatever the order of the rows
+    s, y = np.array([0.0] * 9 + [1.0] * 3), np.array([0.0] * 8 + [1.0] + [1.0] * 3)
+    for seed in range(20):
+        o = np.random.default_rng(seed).permutation(12)
+        x, p = abuse.isotonic(s[o], y[o], np.ones(12))
+        assert list(x) == [0.0, 1.0] and np.allclose(p, [1 / 9, 1.0])
+
+
+def _rated(n, start, rnd):
+    out = []
+    for i in range(start, start + n):
+        bad = rnd.random() < 0.4
+        line = rnd.choice(ABUSE).format(rnd.choice(NAMES)) if bad else rnd.choice(FINE).format("BTCUSDT")
+        out.append((i, f"took the long at 3.1, fine. {line}. that 1h candle was calm.", int(bad), "s"))
+    return out
 
 
 def test_abuse_held_out(spark):
     rnd = random.Random(7)
-    def make(n, start):
-        out = []
-        for i in range(start, start + n):
-            bad = rnd.random() < 0.4
-            line = rnd.choice(ABUSE).format(rnd.choice(NAMES)) if bad else rnd.choice(FINE).format("BTCUSDT")
-            out.append((i, f"took the long at 3.1, fine. {line}. that 1h candle was calm.", int(bad), "s"))
-        return out
-    train, test = make(200, 0), make(100, 1000)
-    d = spark.createDataFrame(train + test + [(5000, None, 0, "s"), (5001, "", 0, None)], "doc_id long, text string, truth int, source string")
+    train, test = _rated(200, 0, rnd), _rated(100, 1000, rnd)
+    d = spark.createDataFrame(train + test + [(5000, None, 0, "s"), (5001, "", 0, None), (0, train[0][1], 0, "s")], "doc_id long, text string, truth int, source string")
     labels = spark.createDataFrame([(i, b if rnd.random() > 0.05 else 1 - b) for i, _, b, _ in train] + [(0, None), (None, 1), (77777, 1)], "doc_id long, abusive int")
     model = abuse.fit(d, labels)
     got = {r["doc_id"]: r["abuse"] for r in abuse.score(d, model, keep=("source",)).collect()}
     assert len(got) == 302 and got[5000] < 0.5 and got[5001] < 0.5
     assert np.mean([(got[i] >= 0.5) == bool(b) for i, _, b, _ in test]) >= 0.95
+    # the order of rows and of ratings does not count
+    again = abuse.fit(d.repartition(5), labels.orderBy(labels.doc_id.desc()))
+    texts = [t for _, t, _, _ in test]
+    assert np.array_equal(model.probability(texts), again.probability(texts))
     bare = abuse.fit(d, labels.limit(0))
-    assert bare.trees is None and abuse.score(d, bare).filter("abuse >= 0.5").count() > 50
+    assert np.mean([(p >= 0.5) == bool(b) for p, (_, _, b, _) in zip(bare.probability(texts), test)]) >= 0.9
+    assert abuse.score(d.limit(0), model).count() == 0
+
+
+#: Wordings that neither the seeds nor the ratings hold.
+UNSEEN_ABUSE = [
+    "Jump off a bridge, nobody would notice.", "Your daughter should get hit by a truck.", "Those people should never have been let into this country, they only steal.", "Du Dreckschwein, ich mach dich fertig.",
+    "You are the dumbest waste of oxygen on this desk.", "What a spineless weasel you are.", "Drop dead, moron.", "I hope you burn.", "These migrants are cockroaches.", "Post your nudes, babe.", "Go choke on your lunch, you worthless slob.",
+    "I will strangle you.", "We will cut your throat.", "Eres basura, nadie te extrana.", "Ta gueule, salaud.", "Women belong in the kitchen, they are too dumb to trade.", "You filthy pig.", "That bastard deserves to be beaten.", "Hot naked girls, dm me.", "Y0u st*pid id1ot.",
+]
+UNSEEN_FINE = [
+    "Hope you had a great weekend, see you at the desk.", "Please send me the logs for BTCUSDT.", "I will find you the report by noon.", "We hope your setup works out, nice entry.", "The reviewer's note belongs in the appendix.",
+    "The women in the team won the prize.", "Killing the container did not help.", "I hate this lag, it cost me two ticks.", "You missed the second part of the form.", "That was a stupid mistake of mine.", "Shall we get rid of the old index?", "Your family is welcome at the party.",
+    "The bulls were slaughtered at the open.", "He quoted the rule about insults such as idiot.", "Your answer is wrong, look at the chart.", "Bitte komm heute ins Buero.", "Gracias por el informe.", "The hotel sends photos of the room.", "My throat hurts, staying home.", "Cut the position in half.",
+]
+
+
+TABLES = Path("/root/testdata/sf0.1")
+
+
+@pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
+def test_unseen_wordings(spark):
+    """The model of the rated documents on sentences that neither they nor the seeds hold."""
+    model = abuse.fit(*(spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "doc_label")))
+    bad, fine = model.probability(UNSEEN_ABUSE) >= 0.5, model.probability(UNSEEN_FINE) >= 0.5
+    wrong = [t for t, b in zip(UNSEEN_ABUSE, bad) if not b] + [t for t, b in zip(UNSEEN_FINE, fine) if b]
+    assert bad.mean() >= 0.9 and bad.sum() / (bad.sum() + fine.sum()) >= 0.85, wrong
