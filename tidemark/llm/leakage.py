@@ -22,12 +22,12 @@ from tidemark.sources.tables import materialize, small_side
 #: Words of a template window at most apart from its first one: windows are triples i < j < k with
 #: k - i <= REACH. However the words that a passage changes are placed, if no more than two fifths
 #: are, triples of neighbours survive around most of the rest.
-REACH = 4
+REACH = 3
 #: Words up to which an item's windows are pairs (a single word for an item of one).
 SHORT = 8
 #: Share of an item's words at which windows must begin in one band of diagonals for an exact check: a
-#: quarter of what makes a leak, as a passage may be torn and half of it lie in another band.
-CANDIDATE = 0.15
+#: fifth of what makes a leak, as a passage may be torn and lie in several bands.
+CANDIDATE = 0.12
 #: Share of an item's words that makes a leak, and the longest passage relative to the item.
 LEAK, STRETCH = 0.6, 1.3
 #: Characters of the items' words up to which they are shipped to the tasks; more are refused.
@@ -262,13 +262,14 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id"
     vocabulary, sizes = _vocabulary(item_rows)
     docs = materialize(template_rows(documents, doc_id, text, names), "templates")
     met = document_windows(docs, doc_id, vocabulary, sizes, _filter(windows)).join(small_side(windows), "hash")
-    # bands are half an item wide and overlap, so that a passage with gaps lies in one of them
-    diagonal, half = F.col("position") - F.col("item_position"), F.greatest(F.floor(F.col("length") / 4.0), F.lit(2)).cast("int")
-    band = F.floor(diagonal / half.cast("double")).cast("int")
-    met = met.select(doc_id, "row", "item", "length", "item_position", half.alias("half"), F.explode(F.array(band, band - 1)).alias("band"))
-    votes = met.groupBy(doc_id, "row", "item", "length", "half", "band").agg(F.count_distinct("item_position").alias("hits"))
-    votes = votes.withColumn("windows", F.col("hits") / F.col("length")).filter(F.col("windows") >= CANDIDATE)
-    near = votes.groupBy(doc_id, "row", "item").agg(F.max("windows").alias("windows"), F.collect_set(F.col("band") * F.col("half")).alias("starts"), F.max(2 * F.col("half")).alias("width"))
+    # a band is a quarter of the item wide; the item's words are 64 bits, so that hits add up before any shuffle
+    quarter = F.greatest(F.ceil(F.col("length") / 4.0), F.lit(2)).cast("int")
+    band = F.floor((F.col("position") - F.col("item_position")) / quarter.cast("double")).cast("int")
+    words_ = F.least("length", F.lit(64))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(F.col("item_position") * words_ / F.col("length").cast("double")).cast("int"))
+    votes = met.groupBy(doc_id, "row", "item", "length", band.alias("band")).agg(F.bit_or(bit).alias("mask"))
+    votes = votes.withColumn("windows", F.bit_count("mask") / words_).filter(F.col("windows") >= CANDIDATE)
+    near = votes.groupBy(doc_id, "row", "item").agg(F.max("windows").alias("windows"), F.collect_set((F.col("band") - 1) * quarter).alias("starts"), F.max(3 * quarter).alias("width"))
     texts = item_rows.select("item", item_id, F.col("words").alias("item_words"), F.col("canon").alias("item_canon"))
     pairs = near.join(small_side(materialize(texts, "texts")), "item").join(docs.dropDuplicates([doc_id, "row"]), [doc_id, "row"])
 
