@@ -36,6 +36,8 @@ def test_running_max_equals_brute_force(spark):
     d = spark.createDataFrame(data, "k string, t int, v int, i int")
     for strict in (True, False):
         got = {r["i"]: r["top"] for r in scan.running_max(d, ["k"], "t", "v", "top", bucket=7, strict=strict).collect()}
+        crowded = scan.running_max(d, ["k"], "t", "v", "top", bucket=7, strict=strict, heavy=3).collect()
+        assert {r["i"]: r["top"] for r in crowded} == got
         for k, t, _, i in data:
             if k is None:
                 assert i not in got
@@ -67,8 +69,12 @@ def test_hierarchy(spark):
     assert all(got[k] == ("l1", -1) for k in ("l1", "l2", "l3", "tail", "tail2")) and len(got) == 78
     paths = hierarchy.full_paths(links)
     assert paths.filter("node_id = 'n069'").first()["path"] == [a for a, _ in chain]
-    counts = {r["node_id"]: (r["n_descendants"], r["height"]) for r in hierarchy.descendant_counts(links, paths).collect()}
-    assert counts["n000"] == (69, 69) and counts["n069"] == (0, 0) and counts["tail"] == (-1, -1)
+    counts = {r["node_id"]: (r["n_descendants"], r["height"]) for r in hierarchy.descendant_counts(links).collect()}
+    assert counts["n000"] == (69, 69) and counts["n069"] == (0, 0) and counts["tail"] == (1, 1) and len(counts) == 78
+    assert all(counts[k] == (4, -1) for k in ("l1", "l2", "l3")) and counts["self"] == (0, -1) and counts["tail2"] == (0, 0)
+    assert hierarchy.descendant_counts(links.limit(0)).count() == 0
+    pairs = hierarchy.ancestor_pairs(hierarchy.upward_paths(links)).groupBy("ancestor_id").count().collect()
+    assert {r["ancestor_id"]: r["count"] for r in pairs} == {k: n for k, (n, _) in counts.items() if n}
     assert hierarchy.resolve(links.limit(0)).count() == 0 and hierarchy.full_paths(links.limit(0)).count() == 0
 
 

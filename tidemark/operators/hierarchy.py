@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import forget, materialize
+from tidemark.sources.tables import forget, materialize, small_side
 
 
 def parent_links(df: DataFrame, node: str, parent: str, tbl: str) -> DataFrame:
@@ -72,7 +72,9 @@ def full_paths(links: DataFrame) -> DataFrame:
     left, nodes, step = active.count(), links.count(), 1
     empty = F.lit(None).cast("array<string>")
     while left and step <= 2 * nodes:
-        settled = reduce(DataFrame.unionByName, resolved).select("tbl", F.col("node_id").alias("up"), "path", F.lit(None).cast("string").alias("up2"), empty.alias("tail2"))
+        # of all paths only those that some node waits for cross to the join
+        asked = small_side(materialize(active.select("tbl", "up").distinct(), "asked"))
+        settled = reduce(DataFrame.unionByName, resolved).withColumnRenamed("node_id", "up").join(asked, ["tbl", "up"], "left_semi").select("tbl", "up", "path", F.lit(None).cast("string").alias("up2"), empty.alias("tail2"))
         moving = active.select("tbl", F.col("node_id").alias("up"), empty.alias("path"), F.col("up").alias("up2"), F.col("tail").alias("tail2"))
         both = materialize(active.join(settled.unionByName(moving), ["tbl", "up"]).select("tbl", "node_id", F.concat("path", "tail").alias("path"), "up2", F.when(F.col("path").isNull(), F.concat("tail2", "tail")).alias("tail2")), f"path{step}")
         resolved.append(both.filter("path IS NOT NULL").select("tbl", "node_id", "path"))
@@ -111,13 +113,48 @@ def ancestor_pairs(paths: DataFrame) -> DataFrame:
     return pairs.filter(F.col("_at") < F.col("depth")).select("tbl", "ancestor_id", "descendant_id", (F.col("depth") - F.col("_at")).alias("distance"))
 
 
-def descendant_counts(links: DataFrame, paths: DataFrame) -> DataFrame:
-    """Per node the number of its descendants and the height of the tree below it.
+def descendant_counts(links: DataFrame) -> DataFrame:
+    """Per node the number of its descendants and the height of the tree below it: tbl, node_id, n_descendants, height.
 
-    Nodes without descendants have 0 and 0; nodes on or under a loop have -1.
+    Nodes without descendants have 0 and 0. A node on a loop has all other nodes that run into the
+    loop as descendants, and height -1, as nothing below it ends; a node hanging under a loop has its
+    own subtree.
+
+    No pair is ever built: in round k every node knows the number of nodes less than 2^k levels below
+    it and hands it to its ancestor 2^k levels up, so the rounds are log2 of the depth and each
+    shuffles one row per node. Loops are counted from their resolved nodes.
+    """
+    nodes = materialize(resolve(links), "resolved")
+    looped = nodes.filter("depth = -1").select("tbl", "node_id", "root_id")
+    on = _loop_members(links, looped)
+    # the loop's nodes are taken out; what hangs under them becomes trees
+    below = links.join(on.select("tbl", "node_id"), ["tbl", "node_id"], "left_anti")
+    gone = on.select("tbl", F.col("node_id").alias("parent_id"), F.lit(True).alias("_on"))
+    up = below.join(gone, ["tbl", "parent_id"], "left").select("tbl", "node_id", F.when(F.col("_on").isNull(), F.col("parent_id")).alias("up"))
+    state = materialize(up.select("tbl", "node_id", "up", F.lit(1).cast("long").alias("n"), F.lit(0).alias("h")), "below")
+    step = 1
+    while not state.filter("up IS NOT NULL").isEmpty():
+        handed = state.filter("up IS NOT NULL").groupBy("tbl", F.col("up").alias("node_id")).agg(F.sum("n").alias("_n"), (F.max("h") + step).alias("_h"))
+        further = state.select("tbl", F.col("node_id").alias("up"), F.col("up").alias("_up2"))
+        grown = state.join(handed, ["tbl", "node_id"], "left").join(further, ["tbl", "up"], "left")
+        new = materialize(grown.select("tbl", "node_id", F.col("_up2").alias("up"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.greatest("h", F.coalesce("_h", F.lit(0))).alias("h")), f"below{step}")
+        forget(state)
+        state, step = new, step * 2
+    trees = state.select("tbl", "node_id", (F.col("n") - 1).alias("n_descendants"), F.col("h").cast("int").alias("height"))
+    sizes = looped.groupBy("tbl", "root_id").agg((F.count("*") - 1).alias("n_descendants"))
+    rings = on.join(sizes, ["tbl", "root_id"]).select("tbl", "node_id", "n_descendants", F.lit(-1).alias("height"))
+    return trees.unionByName(rings)
+
+
+def _loop_members(links: DataFrame, looped: DataFrame) -> DataFrame:
+    """tbl, node_id, root_id of the nodes that lie on a loop themselves.
+
+    Nodes that no other node runs through are peeled off by doubling: what is an ancestor 2^k levels
+    up of something, for 2^k of at least the number of looped nodes, lies on the loop.
     """
-    below = ancestor_pairs(paths).groupBy("tbl", F.col("ancestor_id").alias("node_id")).agg(F.count("*").alias("_n"), F.max("distance").alias("_h"))
-    rooted = paths.select("tbl", "node_id", F.lit(True).alias("_rooted"))
-    d = links.select("tbl", "node_id").join(below, ["tbl", "node_id"], "left").join(rooted, ["tbl", "node_id"], "left")
-    zero = F.when(F.col("_rooted"), F.lit(0)).otherwise(F.lit(-1))
-    return d.select("tbl", "node_id", F.coalesce("_n", zero).cast("long").alias("n_descendants"), F.coalesce("_h", zero).cast("int").alias("height"))
+    p = materialize(looped.join(links, ["tbl", "node_id"]).select("tbl", "node_id", F.col("parent_id").alias("up"), "root_id"), "loops")
+    n, step = p.count(), 1
+    while step < n:
+        p = materialize(p.join(p.select("tbl", F.col("node_id").alias("up"), F.col("up").alias("_up2")), ["tbl", "up"]).select("tbl", "node_id", F.col("_up2").alias("up"), "root_id"), f"loops{step}")
+        step *= 2
+    return p.select("tbl", F.col("up").alias("node_id"), "root_id").distinct()

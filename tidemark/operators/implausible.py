@@ -57,7 +57,7 @@ def exact_medians(values: DataFrame, keys: list[str], value: str, sketches: Data
         bracket = materialize(bracket, "bracket")
         d = values.filter(v.isNotNull()).select(*keys, v.cast("double").alias("_v")).join(small_side(bracket), keys)
         inside = F.col("_v").between(F.col("lo"), F.col("hi"))
-        counted = d.groupBy(*keys, "n", "lo", "hi").agg(F.count(F.when(F.col("_v") < F.col("lo"), 1)).alias("below"), F.count(F.when(inside, 1)).alias("inside"), F.countDistinct(F.when(inside & (F.col("lo") == F.col("hi")), 1)).alias("_one"), F.kll_sketch_agg_double(F.when(inside, F.col("_v")), SKETCH_K).alias("sketch"))
+        counted = d.groupBy(*keys, "n", "lo", "hi").agg(F.count(F.when(F.col("_v") < F.col("lo"), 1)).alias("below"), F.count(F.when(inside, 1)).alias("inside"), F.kll_sketch_agg_double(F.when(inside, F.col("_v")), SKETCH_K).alias("sketch"))
         counted = materialize(counted, "counted")
         if (counted.filter("lo < hi").agg(F.max("inside")).first()[0] or 0) <= EXACT_ROWS:
             break

@@ -3,7 +3,7 @@
 Lambda views: a fast layer adds each arriving batch to provisional totals of its periods; a
 scheduled batch layer recomputes the periods that are still open from the full log and replaces
 them; periods past the cut-off are frozen. :class:`LambdaView` keeps the three on tables, and
-:func:`batch_view` gives the state after a whole log.
+:func:`replay_log` drives it over a whole log.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.scan import running_max
+from tidemark.sources.tables import materialize
 
 #: Span of arrival that one task holds of one key: at most 2^22 distinct arrival instants.
 ARRIVAL_BUCKET = 1 << 22
@@ -45,8 +46,9 @@ def merge_totals(views: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
 class LambdaView:
     """Totals per key and period under late arrival.
 
-    ``frozen`` and ``open`` are DataFrames of totals; ``log`` holds all accepted records of periods
-    that are not frozen. Each call returns a new view; nothing is collected.
+    ``frozen`` and ``provisional`` are tables of totals; ``log`` holds all accepted records of periods
+    that are not frozen. Each call writes its tables and returns a new view, so that no lineage grows
+    and a lost executor costs one step; nothing is collected.
     """
 
     def __init__(self, frozen: DataFrame, provisional: DataFrame, log: DataFrame, *, by: list[str], sums: list[str]) -> None:
@@ -58,38 +60,56 @@ class LambdaView:
         return cls(none, none, like.limit(0), by=by, sums=sums)
 
     def fast(self, batch: DataFrame) -> LambdaView:
-        """Fast layer: a batch of accepted records increments the provisional periods."""
+        """Fast layer: a batch of accepted records increments the provisional periods.
+
+        Frozen periods are closed: records of theirs are left out.
+        """
+        batch = batch.join(self.frozen.select(*self.by), self.by, "left_anti").select(*self.log.columns)
         more = self.provisional.unionByName(totals(batch, self.by, self.sums))
-        return LambdaView(self.frozen, merge_totals(more, self.by, self.sums), self.log.unionByName(batch), by=self.by, sums=self.sums)
+        return LambdaView(self.frozen, materialize(merge_totals(more, self.by, self.sums), "fast"), self.log.unionByName(batch), by=self.by, sums=self.sums)
 
     def recompute(self, closed: DataFrame) -> LambdaView:
         """Batch layer: recompute all open periods from the log, replace the provisional ones and
         freeze those in ``closed`` (a frame of the period columns)."""
-        fresh = totals(self.log, self.by, self.sums)
-        frozen = self.frozen.unionByName(fresh.join(closed, self.by, "left_semi"))
-        return LambdaView(frozen, fresh.join(closed, self.by, "left_anti"), self.log.join(closed, self.by, "left_anti"), by=self.by, sums=self.sums)
+        fresh = materialize(totals(self.log, self.by, self.sums), "fresh")
+        frozen = materialize(self.frozen.unionByName(fresh.join(closed, self.by, "left_semi")), "frozen")
+        log = materialize(self.log.join(closed, self.by, "left_anti"), "log")
+        return LambdaView(frozen, fresh.join(closed, self.by, "left_anti"), log, by=self.by, sums=self.sums)
 
     def view(self) -> DataFrame:
         """All periods with ``state`` frozen or provisional."""
         return self.frozen.withColumn("state", F.lit("frozen")).unionByName(self.provisional.withColumn("state", F.lit("provisional")))
 
 
-def batch_view(records: DataFrame, keys: list[str], *, event: str, arrival: str, allowed: str, period: str, period_end: str, sums: list[str], bucket: int = ARRIVAL_BUCKET) -> DataFrame:
-    """The view after the whole log: keys, period, n, sums, n_late, state.
+def split_log(records: DataFrame, keys: list[str], *, event: str, arrival: str, allowed: str, bucket: int = ARRIVAL_BUCKET) -> tuple[DataFrame, DataFrame]:
+    """The log's accepted records and those beyond the cut-off, which no view takes in."""
+    d = beyond_cutoff(records, keys, event=event, arrival=arrival, allowed=allowed, bucket=bucket)
+    return d.filter("NOT is_late").drop("is_late"), d.filter("is_late").drop("is_late")
+
 
-    Records beyond the cut-off count in ``n_late`` only. A period is frozen once the key's latest
-    event is more than ``allowed`` past its end, else provisional.
+def replay_log(records: DataFrame, keys: list[str], *, event: str, arrival: str, allowed: str, period: str, period_end: str, sums: list[str], batches: int = 3, bucket: int = ARRIVAL_BUCKET) -> DataFrame:
+    """Run a log through a :class:`LambdaView` in ``batches`` of arrival: keys, period, n, sums, n_late, state.
+
+    Each batch goes through the fast layer; then the open periods are recomputed and those frozen
+    whose end lies more than ``allowed`` behind the key's latest event so far. The result does not depend
+    on the number of batches: a record that comes for a frozen period is beyond the cut-off by then.
+    Records beyond the cut-off count in ``n_late`` only; a period that has no others gets n = 0.
     """
-    d = beyond_cutoff(records, keys, event=event, arrival=arrival, allowed=allowed, bucket=bucket)
-    on_time = ~F.col("is_late")
-    per = d.groupBy(*keys, period).agg(
-        F.count(F.when(on_time, 1)).alias("n"),
-        *[F.sum(F.when(on_time, F.col(c))).alias(c) for c in sums],
-        F.count(F.when(F.col("is_late"), 1)).alias("n_late"),
-        F.max(period_end).alias("_end"), F.max(event).alias("_last"), F.max(allowed).alias("_allowed"),
-    )
-    from pyspark.sql import Window
-
-    latest = F.max("_last").over(Window.partitionBy(*keys))
-    state = F.when(latest - F.col("_end") > F.col("_allowed"), "frozen").otherwise("provisional")
-    return per.select(*keys, period, "n", *sums, "n_late", state.alias("state"))
+    by = [*keys, period]
+    d = materialize(beyond_cutoff(records, keys, event=event, arrival=arrival, allowed=allowed, bucket=bucket), "judged")
+    lo, hi = d.agg(F.min(arrival), F.max(arrival)).first()
+    view = LambdaView.empty(d, by=by, sums=sums)
+    ends = lambda rows: rows.groupBy(*by).agg(F.max(period_end).alias("_end"), F.max(allowed).alias("_allowed"))
+    latest = lambda rows: rows.groupBy(*keys).agg(F.max(event).alias("_latest"))
+    overdue = F.col("_latest") - F.col("_end") > F.col("_allowed")
+    for k in range(batches if lo is not None else 0):
+        since, until = lo + (hi - lo) * k // batches, lo + (hi - lo) * (k + 1) // batches
+        view = view.fast(d.filter((F.col(arrival) > since) if k else F.lit(True)).filter((F.col(arrival) <= until) & ~F.col("is_late")))
+        closed = ends(view.log).join(latest(d.filter(F.col(arrival) <= until)), keys).filter(overdue).select(*by)
+        view = view.recompute(closed)
+    late = d.filter("is_late")
+    late = late.groupBy(*by).agg(F.count("*").alias("n_late"), F.max(period_end).alias("_end"), F.max(allowed).alias("_allowed")).join(latest(d), keys)
+    late = late.select(*by, "n_late", F.when(overdue, "frozen").otherwise("provisional").alias("_state"))
+    zero = F.lit(0).cast("long")
+    out = view.view().join(late, by, "full")
+    return out.select(*by, F.coalesce("n", zero).alias("n"), *sums, F.coalesce("n_late", zero).alias("n_late"), F.coalesce("state", "_state").alias("state"))

@@ -51,15 +51,21 @@ def counter_segments(df: DataFrame, keys: list[str], *, start: str, end: str, co
     )
 
 
-def _cells(lo, hi):
-    """Grid cells that (lo, hi] touches."""
-    return F.sequence(F.floor(lo).cast("long"), F.greatest(F.ceil(hi).cast("long") - 1, F.floor(lo).cast("long")))
+#: Cells that one row makes at once; longer spans are cut and spread over the tasks first.
+SPAN = 4096
+
+
+def _explode_cells(df: DataFrame, keys: list[str], lo, hi) -> DataFrame:
+    """One row per grid cell ``slot`` from ``lo`` to ``hi``, for spans of any length."""
+    parts = df.withColumn("_lo", F.explode(F.sequence(lo, hi, F.lit(SPAN).cast("long")))).withColumn("_hi", F.least(hi, F.col("_lo") + SPAN - 1))
+    return parts.withColumn("slot", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
 
 
 def uncovered_cells(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Grid cells that lie wholly in a gap between two readings: keys, slot."""
     lo, hi = F.ceil("gap_from").cast("long"), F.floor("from_pos").cast("long") - 1
-    return segments.filter(F.col("gap_from").isNotNull() & (lo <= hi)).select(*keys, F.explode(F.sequence(lo, hi)).alias("slot"))
+    gaps = segments.filter(F.col("gap_from").isNotNull() & (lo <= hi)).select(*keys, lo.alias("_from"), hi.alias("_to"))
+    return _explode_cells(gaps, keys, F.col("_from"), F.col("_to")).select(*keys, "slot")
 
 
 def spread_on_grid(segments: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,7 +77,8 @@ def spread_on_grid(segments: DataFrame, keys: list[str]) -> DataFrame:
     reaches into (amount null, coverage 0). A segment of no length gives its cell the whole amount.
     """
     span = F.col("to_pos") - F.col("from_pos")
-    share = segments.withColumn("slot", F.explode(_cells(F.col("from_pos"), F.col("to_pos"))))
+    first = F.floor("from_pos").cast("long")
+    share = _explode_cells(segments, keys, first, F.greatest(F.ceil("to_pos").cast("long") - 1, first))
     overlap = F.least("to_pos", F.col("slot") + 1.0) - F.greatest("from_pos", F.col("slot").cast("double"))
     measured = (
         share.select(*keys, "slot", (F.col("increment") * F.when(span > 0, overlap / span).otherwise(1.0)).alias("_a"), overlap.alias("_o"), F.col("is_reset").cast("int").alias("_r"))

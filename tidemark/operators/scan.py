@@ -2,36 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import materialize, small_side
 
-def running_max(
-    df: DataFrame, keys: list[str], t: str, value: str, out: str, *, bucket: int, strict: bool
-) -> DataFrame:
+
+#: Rows of one key and bucket from which its instants are reduced before they are walked.
+HEAVY_ROWS = 4_000_000
+
+
+def running_max(df: DataFrame, keys: list[str], t: str, value: str, out: str, *, bucket: int, strict: bool, heavy: int = HEAVY_ROWS) -> DataFrame:
     """Add ``out``: the greatest ``value`` of the same keys at earlier ``t``.
 
     ``strict`` leaves out rows at the same ``t``; otherwise they count. ``bucket`` is the span of
-    ``t`` that one task may hold of one key. A first pass reduces each (keys, bucket) to its maximum;
-    a window over these few totals carries the maximum of all earlier buckets in; a second window
-    runs inside each bucket. A key that holds a third of all rows is thus spread over its buckets.
+    ``t`` that one task may hold of one key. The rows are written once. A first pass reduces each (keys,
+    bucket) to its maximum; a window over these few totals carries the maximum of all earlier buckets
+    in; a second window runs inside each bucket. A key that holds a third of all rows is thus spread
+    over its buckets.
+
+    A bucket of over ``heavy`` rows (a backfill that gave many rows one instant) is not walked row by
+    row: it is reduced to its instants, with a map-side pass, the window runs over these, and rows
+    meet their instant in a join, whose skew adaptive execution splits.
 
     Rows with a null key or null ``t`` are left out; null values never win; an empty frame gives an
-    empty frame. Both passes read one exchange: the totals touch every column, so that Spark
-    recognises the two as the same.
+    empty frame.
     """
     b = "_bucket"
     d = df.dropna(subset=[*keys, t]).withColumn(b, F.floor(F.col(t) / F.lit(float(bucket))).cast("long"))
-    d = d.repartition(*keys, b)
-    rest = [c for c in d.columns if c not in (*keys, b, value)]
-    totals = d.groupBy(*keys, b).agg(F.max(value).alias("_top"), *[F.count(c).alias(f"_n_{i}") for i, c in enumerate(rest)])
+    d = materialize(d, "walk")
+    totals = materialize(d.groupBy(*keys, b).agg(F.max(value).alias("_top"), F.count("*").alias("_n")), "totals")
     before = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    touched: Column = F.lit(0)
-    for i in range(len(rest)):
-        touched = touched + F.col(f"_n_{i}")
-    carry = totals.select(*keys, b, F.max(F.when(touched >= 0, F.col("_top"))).over(before).alias("_carry"))
-    inside = Window.partitionBy(*keys, b).orderBy(t).rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
-    d = d.join(carry, [*keys, b], "left").withColumn("_local", F.max(value).over(inside))
+    carry = totals.select(*keys, b, "_n", F.max("_top").over(before).alias("_carry"))
+    frame = Window.partitionBy(*keys, b).orderBy(t).rangeBetween(Window.unboundedPreceding, -1 if strict else 0)
+    crowded = totals.filter(F.col("_n") > heavy).select(*keys, b)
+    if crowded.isEmpty():
+        d = d.repartition(*keys, b).withColumn("_local", F.max(value).over(frame))
+    else:
+        crowded = small_side(materialize(crowded, "crowded"))
+        light = d.join(crowded, [*keys, b], "left_anti").repartition(*keys, b).withColumn("_local", F.max(value).over(frame))
+        full = d.join(crowded, [*keys, b], "left_semi")
+        instants = full.groupBy(*keys, b, t).agg(F.max(value).alias("_v")).withColumn("_local", F.max("_v").over(frame)).drop("_v")
+        d = light.unionByName(full.join(instants, [*keys, b, t]).select(*light.columns))
+    d = d.join(carry.drop("_n"), [*keys, b], "left")
     return d.withColumn(out, F.greatest("_local", "_carry")).drop(b, "_local", "_carry")
 
 

@@ -19,19 +19,23 @@ def _volume_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Segments of each cell's session volume counter, which restarts with the UTC day.
 
     A slot with several readings counts with the one retrieved last. The volume of a reading ticks
-    the counter at its slot's end, from 0 at the session's first slot; the reading itself vouches for its slot only, so whatever lies
-    between two readings is a gap.
+    the counter at its slot's end, from 0 at the session's first slot; the reading vouches for the time
+    from its own opening, which need not lie on the grid, to its slot's end, so whatever lies between
+    two readings is a gap, be it a part of a slot or many slots.
     """
-    d = observations(read_table(spark, sf, "market_observation"), status=READING, times=("slot",), values=("volume",)).filter("slot IS NOT NULL")
-    day = F.floor(slot_start_ms(F.col("timeframe"), F.col("slot")) / F.lit(float(DAY))).cast("long")
-    d = d.select(*CELL, day.alias("session"), "slot", F.coalesce("retrieved_ms", F.lit(FAR)).alias("at"), "volume").repartition(*CELL, "session")
-    one = d.groupBy(*CELL, "session", "slot").agg(F.max_by("volume", "at").alias("volume"))
+    d = observations(read_table(spark, sf, "market_observation"), status=READING, times=("slot", "open_ms"), values=("volume",)).filter("slot IS NOT NULL")
+    begin, end = (slot_start_ms(F.col("timeframe"), F.col("slot") + k) for k in (0, 1))
+    day = F.floor(begin / F.lit(float(DAY))).cast("long")
+    opened = F.col("slot") + F.coalesce((F.col("open_ms") - begin) / (end - begin).cast("double"), F.lit(0.0))
+    best = F.max_by(F.struct("volume", "opened"), "at").alias("x")
+    d = d.select(*CELL, day.alias("session"), "slot", F.coalesce("retrieved_ms", F.lit(FAR)).alias("at"), "volume", opened.alias("opened"))
+    one = materialize(d.groupBy(*CELL, "session", "slot").agg(best).select(*CELL, "session", "slot", "x.*"), "slots")
     w = Window.partitionBy(*CELL, "session").orderBy("slot")
-    ticks = F.struct("slot", (F.col("slot") + 1).alias("end"), F.sum(F.coalesce(F.greatest("volume", F.lit(0.0)), F.lit(0.0))).over(w).alias("counter"))
-    opening = F.struct("slot", F.col("slot").alias("end"), F.lit(0.0).alias("counter"))
-    both = one.select(*CELL, "session", ticks.alias("tick"), F.when(F.row_number().over(w) == 1, opening).alias("opening"))
+    ticks = F.struct(F.col("opened").alias("start"), (F.col("slot") + 1).alias("end"), F.sum(F.coalesce(F.greatest("volume", F.lit(0.0)), F.lit(0.0))).over(w).alias("counter"))
+    opening = F.struct(F.col("opened").alias("start"), F.col("opened").alias("end"), F.lit(0.0).alias("counter"))
+    both = one.repartition(*CELL, "session").select(*CELL, "session", ticks.alias("tick"), F.when(F.row_number().over(w) == 1, opening).alias("opening"))
     meter = both.select(*CELL, "session", F.explode(F.array_compact(F.array("opening", "tick"))).alias("x")).select(*CELL, "session", "x.*")
-    return regular_grid.counter_segments(meter, CELL, start="slot", end="end", counter="counter", chunk="session")
+    return regular_grid.counter_segments(meter, CELL, start="start", end="end", counter="counter", chunk="session")
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,7 +45,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_grid(spark: SparkSession, sf: str) -> DataFrame:
     grid = regular_grid.spread_on_grid(_volume_segments(spark, sf), CELL)
-    return grid.select(*CELL, slot_start_ms(F.col("timeframe"), F.col("slot")).alias("open_ms"), F.round("amount", 3).alias("volume"), "coverage", "status")
+    return grid.select(*CELL, slot_start_ms(F.col("timeframe"), F.col("slot")).alias("open_ms"), F.round("amount", 3).alias("volume"), F.round("coverage", 6).alias("coverage"), "status")
 
 
 # ---------------------------------------------------------------- 2 hierarchies
@@ -63,8 +67,8 @@ def p2_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    links = _links(spark, sf)
-    return hierarchy.descendant_counts(links, hierarchy.full_paths(links))
+    """Number of descendants and height below every node, without building pairs."""
+    return hierarchy.descendant_counts(_links(spark, sf))
 
 
 def p2_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,7 +99,7 @@ def p3_rolling(spark: SparkSession, sf: str) -> DataFrame:
     scopes = daily.withColumn("timeframe", F.explode(F.array("timeframe", F.lit("all"))))
     parts = ["readings", *FIELDS, *[f"n_{c}" for c in FIELDS]]
     kinds = dict(daily.dtypes)
-    daily = scopes.groupBy(*CELL, "day").agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in parts])
+    daily = materialize(scopes.groupBy(*CELL, "day").agg(*[F.sum(c).cast(kinds[c]).alias(c) for c in parts]), "daily")
     r = rolling.trailing_totals(daily, CELL, "day", ["readings", *FIELDS, *[f"n_{c}" for c in FIELDS]], WINDOWS)
     cols = []
     for w in WINDOWS:
@@ -138,6 +142,8 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- 5 implausible values
 
 SPIKE, VOLUME_HIGH, VOLUME_LOW, LEVEL, LEAST, RUN, REACH = 20.0, 20.0, 0.01, 0.1, 12, 8, 7
+#: Interquartile ranges beyond the quartiles at which a value becomes a candidate.
+FENCE = 6.0
 SLOTS_PER_BLOCK = 2048.0
 
 
@@ -174,16 +180,20 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     keys = [*CELL, "field"]
     long = _long(d, {"high_price": "upper", "low_price": "lower"}).unionByName(_long(rated, {"q_ohlc": "q_ohlc"}))
     sketches = materialize(implausible.source_sketches(long, keys, "value", F.col("hour")), "sketches")
-    medians = materialize(implausible.exact_medians(long, keys, "value", implausible.merge_sketches(sketches, keys)), "medians")
+    merged = materialize(implausible.merge_sketches(sketches, keys), "merged")
+    medians = implausible.exact_medians(long, keys, "value", merged)
+    # a value is a candidate outside the cell's fences or, where these are wide, beyond what the sketch allows
+    medians = materialize(medians.join(implausible.fences(merged, keys, FENCE).select(*keys, "low", "high"), keys), "medians")
     cells = d.groupBy(*CELL).agg(F.count("high_price").alias("c_high"), F.count("low_price").alias("c_low"), F.count("volume").alias("c_volume"))
-    pick = lambda f: F.max(F.when(F.col("field") == f, F.col("median")))
-    wide = medians.groupBy(*CELL).agg(pick("high_price").alias("m_high"), pick("low_price").alias("m_low"), pick("q_ohlc").alias("m_q"), F.max(F.when(F.col("field") == "q_ohlc", F.col("n"))).alias("c_q"))
+    pick = lambda f, c="median": F.max(F.when(F.col("field") == f, F.col(c)))
+    edges = [F.least(pick(f, "high"), SPIKE * pick(f)).alias(f"f_{n}") for f, n in (("high_price", "high"), ("low_price", "low"))]
+    wide = medians.groupBy(*CELL).agg(*edges, pick("high_price").alias("m_high"), pick("low_price").alias("m_low"), pick("q_ohlc").alias("m_q"), F.max(F.when(F.col("field") == "q_ohlc", F.col("n"))).alias("c_q"))
     norms = small_side(materialize(cells.join(wide, CELL, "full"), "norms"))
 
     j = d.join(norms, CELL)
     crossed = F.col("high_price") < F.col("low_price")
-    bad_high = (F.col("high_price") <= 0) | crossed | ((F.col("c_high") >= LEAST) & (F.col("upper") > SPIKE * F.col("m_high")))
-    bad_low = (F.col("low_price") <= 0) | crossed | ((F.col("c_low") >= LEAST) & (F.col("lower") > SPIKE * F.col("m_low")))
+    bad_high = (F.col("high_price") <= 0) | crossed | ((F.col("c_high") >= LEAST) & (F.col("upper") > F.col("f_high")) & (F.col("upper") > SPIKE * F.col("m_high")))
+    bad_low = (F.col("low_price") <= 0) | crossed | ((F.col("c_low") >= LEAST) & (F.col("lower") > F.col("f_low")) & (F.col("lower") > SPIKE * F.col("m_low")))
     flags = F.array_compact(F.array(F.when(bad_high, "high_price"), F.when(bad_low, "low_price"), F.when(F.col("volume") < 0, "volume")))
     own = j.select(F.col("observation_id").alias("record_id"), F.explode(flags).alias("field"))
     off = ((F.col("c_q") >= LEAST) & (F.abs(F.col("q_ohlc") - F.col("m_q")) > LEVEL)) | (F.col("q_ohlc") < 0) | (F.col("q_ohlc") > 1)
@@ -239,15 +249,15 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    d = lateness.beyond_cutoff(_records(spark, sf).drop("volume"), ["rec_table", "cell_id"], event="event", arrival="arrival", allowed="allowed")
-    return d.filter("is_late").select("rec_table", "rec_id")
+    _, late = lateness.split_log(_records(spark, sf).drop("volume"), ["rec_table", "cell_id"], event="event", arrival="arrival", allowed="allowed")
+    return late.select("rec_table", "rec_id")
 
 
 def p6_days(spark: SparkSession, sf: str) -> DataFrame:
     """Corrected aggregates per cell and UTC day of the event time, with the records beyond the cut-off counted."""
     d = _records(spark, sf).filter("rec_table = 'market_observation'").withColumn("day", F.floor(F.col("event") / F.lit(float(DAY))).cast("long"))
     d = d.withColumn("volume", F.col("volume").cast("decimal(28,8)")).withColumn("end", (F.col("day") + 1) * DAY)
-    v = lateness.batch_view(d, ["cell_id"], event="event", arrival="arrival", allowed="allowed", period="day", period_end="end", sums=["volume"])
+    v = lateness.replay_log(d, ["cell_id"], event="event", arrival="arrival", allowed="allowed", period="day", period_end="end", sums=["volume"])
     return v.select("cell_id", F.date_from_unix_date(F.col("day").cast("int")).alias("day"), "n", F.round(F.col("volume").cast("double"), 3).alias("volume"), "n_late", "state")
 
 

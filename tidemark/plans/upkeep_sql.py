@@ -44,13 +44,13 @@ SELECT symbol, timeframe, slot AS open_ms FROM grid g
 WHERE NOT EXISTS (SELECT 1 FROM slotted s WHERE s.symbol = g.symbol AND s.timeframe = g.timeframe AND s.slot = g.slot)"""
 
 P1_GRID = f"""WITH RECURSIVE {_obs(_READ)},
-one AS (SELECT symbol, timeframe, slot, volume FROM slotted
+one AS (SELECT symbol, timeframe, slot, volume, open_ms FROM slotted
   QUALIFY row_number() OVER (PARTITION BY symbol, timeframe, slot ORDER BY retrieved_ms DESC NULLS FIRST) = 1),
 span AS (SELECT symbol, timeframe, min(slot) AS slot, max(slot) AS last FROM one GROUP BY ALL),
 grid AS (SELECT * FROM span UNION ALL
   SELECT symbol, timeframe, nxt, last FROM (SELECT *, {_next('slot')} AS nxt FROM grid) WHERE nxt <= last)
 SELECT symbol, timeframe, slot AS open_ms, CASE WHEN o.slot IS NOT NULL THEN round(greatest(coalesce(o.volume, 0), 0), 3) END AS volume,
-  CASE WHEN o.slot IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS coverage,
+  CASE WHEN o.slot IS NULL THEN 0.0::DOUBLE ELSE round(1 - coalesce((o.open_ms - slot) / CAST(({_next('slot')}) - slot AS DOUBLE), 0), 6) END AS coverage,
   CASE WHEN o.slot IS NULL THEN 'lacking' ELSE 'measured' END AS status
 FROM grid LEFT JOIN one o USING (symbol, timeframe, slot)"""
 
@@ -71,12 +71,18 @@ SELECT tbl, node_id, root_id, depth FROM down UNION ALL SELECT tbl, node_id, roo
 P2_PATHS = f"WITH RECURSIVE {_LINKS} SELECT tbl, node_id, root_id, depth, path FROM down"
 P2_LOOPS = f"WITH RECURSIVE {_LINKS} SELECT tbl, root_id AS loop_id, count(*) AS n_nodes FROM looped GROUP BY ALL"
 P2_DESCENDANTS = f"""WITH RECURSIVE {_LINKS},
-anc AS (SELECT tbl, node_id, parent_id AS ancestor, 1 AS dist FROM links WHERE parent_id IS NOT NULL AND (tbl, node_id) IN (SELECT (tbl, node_id) FROM down)
-  UNION ALL SELECT a.tbl, a.node_id, l.parent_id, a.dist + 1 FROM anc a JOIN links l ON l.tbl = a.tbl AND l.node_id = a.ancestor WHERE l.parent_id IS NOT NULL),
-cnt AS (SELECT tbl, ancestor AS node_id, count(*) AS n, max(dist) AS h FROM anc GROUP BY ALL)
-SELECT l.tbl, l.node_id, CASE WHEN d.node_id IS NOT NULL THEN coalesce(c.n, 0) ELSE -1 END AS n_descendants,
-  CAST(CASE WHEN d.node_id IS NOT NULL THEN coalesce(c.h, 0) ELSE -1 END AS INTEGER) AS height
-FROM links l LEFT JOIN cnt c ON c.tbl = l.tbl AND c.node_id = l.node_id LEFT JOIN down d ON d.tbl = l.tbl AND d.node_id = l.node_id"""
+free AS (SELECT * FROM links l WHERE NOT EXISTS (SELECT 1 FROM onloop o WHERE o.tbl = l.tbl AND o.node_id = l.node_id)),
+anc AS (SELECT l.tbl, l.node_id, p.node_id AS ancestor, 1 AS dist FROM free l JOIN free p ON p.tbl = l.tbl AND p.node_id = l.parent_id
+  UNION ALL SELECT a.tbl, a.node_id, p.node_id, a.dist + 1 FROM anc a JOIN free l ON l.tbl = a.tbl AND l.node_id = a.ancestor JOIN free p ON p.tbl = l.tbl AND p.node_id = l.parent_id),
+cnt AS (SELECT tbl, ancestor AS node_id, count(*) AS n, max(dist) AS h FROM anc GROUP BY ALL),
+rings AS (SELECT tbl, root_id, count(*) - 1 AS n FROM looped GROUP BY ALL)
+SELECT l.tbl, l.node_id, coalesce(c.n, 0) AS n_descendants, CAST(coalesce(c.h, 0) AS INTEGER) AS height FROM free l LEFT JOIN cnt c ON c.tbl = l.tbl AND c.node_id = l.node_id
+UNION ALL SELECT o.tbl, o.node_id, r.n, -1 FROM (SELECT DISTINCT * FROM onloop) o JOIN looped x ON x.tbl = o.tbl AND x.node_id = o.node_id JOIN rings r ON r.tbl = o.tbl AND r.root_id = x.root_id"""
+P2_PAIRS = f"""WITH RECURSIVE {_LINKS},
+anc AS (SELECT tbl, node_id, parent_id AS ancestor, 1 AS dist FROM links WHERE parent_id IS NOT NULL
+  UNION ALL SELECT a.tbl, a.node_id, l.parent_id, a.dist + 1 FROM anc a JOIN links l ON l.tbl = a.tbl AND l.node_id = a.ancestor
+    WHERE l.parent_id IS NOT NULL AND a.dist <= (SELECT count(*) FROM lost) + (SELECT max(depth) FROM down))
+SELECT tbl, ancestor AS ancestor_id, node_id AS descendant_id, min(dist) AS distance FROM anc WHERE ancestor <> node_id GROUP BY ALL"""
 
 
 def _p3() -> str:
@@ -151,6 +157,6 @@ SELECT evidence_id, observation_id FROM ev JOIN known USING (symbol, timeframe)
 QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY close_ms DESC, retrieved_ms DESC, observation_id DESC) = 1"""
 
 ORACLE = {
-    "p1_found": P1_FOUND, "p1_grid": P1_GRID, "p2_found": P2_FOUND, "p2_paths": P2_PATHS, "p2_descendants": P2_DESCENDANTS, "p2_loops": P2_LOOPS,
+    "p1_found": P1_FOUND, "p1_grid": P1_GRID, "p2_found": P2_FOUND, "p2_paths": P2_PATHS, "p2_descendants": P2_DESCENDANTS, "p2_loops": P2_LOOPS, "p2_pairs": P2_PAIRS,
     "p3_rolling": _p3(), "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p6_days": P6_DAYS, "p7_found": P7_FOUND,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -25,12 +26,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a temporary folder is made
-    and removed at exit.
+    Only a session in one process (master ``local``: tests, a laptop) may name none; a temporary
+    folder is then made and removed at exit. On a cluster executors would each write to a disk of
+    their own, so a missing setting is an error there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tidemark-"))
         atexit.register(shutil.rmtree, _OWN[0], True)
