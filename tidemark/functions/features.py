@@ -1,7 +1,7 @@
 """Bar features as column expressions over trailing frames.
 
 Each feature is SQL text over o, h, l, c, v, oi and n (the bar's number in its cell). ``{p:k}`` stands
-for the value k bars ago of the column p, ``{20}`` for the frame of the last 20 bars with the
+for the value k bars ago of the column p (``{p:-k}``: k bars on), ``{20}`` for the frame of the last 20 bars with the
 current one, ``{-20}`` for the 20 bars before it and ``{+k}`` for the k bars after it. A feature is
 null until its frame is full (a flag is false). Divisions are guarded with nullif; results are rounded half up.
 """
@@ -10,35 +10,47 @@ from __future__ import annotations
 
 import re
 
-#: Bars of history and of future that a group of features may look at.
+#: A candle that the guard lets through; the others have a status instead of values.
+_OK = "h - l >= 1e-12"
 CANDLE = {
-    "body_ratio": "round(abs(c - o) / nullif(h - l, 0), 6)",
-    "upper_wick": "round((h - greatest(o, c)) / nullif(h - l, 0), 6)",
-    "lower_wick": "round((least(o, c) - l) / nullif(h - l, 0), 6)",
-    "close_position": "round((c - l) / nullif(h - l, 0), 4)",
-    "bar_range": "round(h - l, 8)",
-    "body_size": "round(abs(c - o), 8)",
-    "is_bullish": "CASE WHEN c >= o THEN 1 ELSE 0 END",
-    "is_bearish": "CASE WHEN c < o THEN 1 ELSE 0 END",
+    "status": "CASE WHEN h < l THEN 'INVALID' WHEN h - l < 1e-12 THEN 'DEGRADED' ELSE 'OK' END",
+    "body_ratio": f"CASE WHEN {_OK} THEN round(abs(c - o) / (h - l), 6) END",
+    "upper_wick": f"CASE WHEN {_OK} THEN round((h - greatest(o, c)) / (h - l), 6) END",
+    "lower_wick": f"CASE WHEN {_OK} THEN round((least(o, c) - l) / (h - l), 6) END",
+    "close_position": f"CASE WHEN {_OK} THEN round((c - l) / (h - l), 4) END",
+    "bar_range": f"CASE WHEN {_OK} THEN round(h - l, 8) END",
+    "body_size": f"CASE WHEN {_OK} THEN round(abs(c - o), 8) END",
+    "is_bullish": f"CASE WHEN {_OK} THEN CASE WHEN c >= o THEN 1 ELSE 0 END END",
+    "is_bearish": f"CASE WHEN {_OK} THEN CASE WHEN c < o THEN 1 ELSE 0 END END",
     "is_inside": "coalesce(h < {h:1} AND l > {l:1}, FALSE)",
     "is_outside": "coalesce(h > {h:1} AND l < {l:1}, FALSE)",
     "log_return": "round(CASE WHEN c > 0 AND {c:1} > 0 THEN ln(c / {c:1}) END, 8)",
+    "hour": "cast(floor(open_ms / 3600000D) % 24 AS int)",
+    "weekday": "cast((floor(open_ms / 86400000D) + 3) % 7 AS int)",
 }
 TR = "greatest(h - l, abs(h - {c:1}), abs(l - {c:1}))"
+
+
+def _z(x: str, n: int, digits: int = 4) -> str:
+    """(x - mean) / population deviation over n bars; 0 for a flat series."""
+    return f"CASE WHEN n >= {n} THEN CASE WHEN stddev_pop({x}) OVER {{{n}}} < 1e-12 THEN 0.0 ELSE round(({x} - avg({x}) OVER {{{n}}}) / stddev_pop({x}) OVER {{{n}}}, {digits}) END END"
+
+
+#: Exact sums: products of prices and volumes as decimals, so that the order of adding does not show.
+_PV = "(cast(h AS decimal(16,6)) + cast(l AS decimal(16,6)) + cast(c AS decimal(16,6))) * cast(v AS decimal(18,4))"
 TRAILING = {
-    "true_range": f"CASE WHEN {{c:1}} IS NOT NULL THEN round({TR}, 8) END",
+    "true_range": f"CASE WHEN {{c:1}} IS NOT NULL AND {_OK} THEN round({TR}, 8) END",
     "sma_20": "CASE WHEN n >= 20 THEN round(avg(c) OVER {20}, 9) END",
-    "return_1": "round(c / nullif({c:1}, 0) - 1, 8)",
-    "return_5": "round(c / nullif({c:5}, 0) - 1, 8)",
-    "return_20": "round(c / nullif({c:20}, 0) - 1, 8)",
-    "vwap_20": "CASE WHEN n >= 20 THEN round(sum((h + l + c) / 3 * v) OVER {20} / nullif(sum(v) OVER {20}, 0), 6) END",
-    "volume_z": "CASE WHEN n >= 20 THEN CASE WHEN stddev_pop(v) OVER {20} < 1e-12 THEN 0.0 ELSE round((v - avg(v) OVER {20}) / stddev_pop(v) OVER {20}, 6) END END",
+    "return_1": "CASE WHEN n > 20 THEN round(c / nullif({c:1}, 0) - 1, 8) END",
+    "return_5": "CASE WHEN n > 20 THEN round(c / nullif({c:5}, 0) - 1, 8) END",
+    "return_20": "CASE WHEN n > 20 THEN round(c / nullif({c:20}, 0) - 1, 8) END",
+    "vwap_20": f"CASE WHEN n >= 20 THEN round(cast(sum({_PV}) OVER {{20}} AS double) / nullif(cast(sum(cast(v AS decimal(18,4))) OVER {{20}} AS double) * 3, 0), 9) END",
+    "volume_z": _z("v", 20),
     "volume_ratio_prev": "CASE WHEN n > 20 THEN round(v / nullif(avg(v) OVER {-20}, 0), 4) END",
-    "range_z": "CASE WHEN n >= 20 THEN round((h - l - avg(h - l) OVER {20}) / nullif(stddev_pop(h - l) OVER {20}, 0), 6) END",
-    "slope_20": "CASE WHEN n >= 20 THEN round(regr_slope(c, n) OVER {20} / nullif(avg(c) OVER {20}, 0), 8) END",
+    "range_z": _z("(h - l)", 20),
+    "slope_20": "CASE WHEN n >= 20 THEN round(cast(2 * sum(cast(n AS decimal(15,0)) * cast(c AS decimal(16,6))) OVER {20} - (2 * n - 19) * sum(cast(c AS decimal(16,6))) OVER {20} AS double) / 1330, 8) END",
     "r2_20": "CASE WHEN n >= 20 THEN round(regr_r2(c, n) OVER {20}, 6) END",
     "oi_delta": "round(oi - {oi:1}, 8)",
-    "oi_z": "CASE WHEN count(oi) OVER {20} = 20 THEN round((oi - avg(oi) OVER {20}) / nullif(stddev_pop(oi) OVER {20}, 0), 6) END",
     "roc_10": "round((c / nullif({c:10}, 0) - 1) * 100, 6)",
     "stochastic_k": "CASE WHEN n >= 14 THEN CASE WHEN max(h) OVER {14} = min(l) OVER {14} THEN 50.0 ELSE round((c - min(l) OVER {14}) / nullif(max(h) OVER {14} - min(l) OVER {14}, 0) * 100, 6) END END",
     "price_volume_corr": "CASE WHEN n >= 48 THEN round(corr(c, v) OVER {48}, 6) END",
@@ -46,18 +58,27 @@ TRAILING = {
     "hl2_channel_high": "CASE WHEN n > 20 THEN max(h) OVER {-20} END",
     "hl2_channel_low": "CASE WHEN n > 20 THEN min(l) OVER {-20} END",
 }
-_POS = "h > 0 AND l > 0 AND o > 0 AND c > 0"
+_POS = "least(o, h, l, c) > 0"
+#: Every bar of the last 20 has four positive prices.
+_ALL = "n >= 20 AND min(least(o, h, l, c)) OVER {20} > 0"
+_RS = f"(CASE WHEN {_POS} THEN ln(h / c) * ln(h / o) + ln(l / c) * ln(l / o) END)"
+_GK = f"(CASE WHEN {_POS} THEN 0.5 * power(ln(h / l), 2) - (2 * ln(2D) - 1) * power(ln(c / o), 2) END)"
+_HL = f"(CASE WHEN {_POS} THEN power(ln(h / l), 2) END)"
+_K30 = "(0.34D / (1.34D + 31D / 29D))"
 VOLATILITY = {
-    "parkinson": f"CASE WHEN n >= 20 AND min(l) OVER {{20}} > 0 THEN round(sqrt(sum(CASE WHEN {_POS} THEN power(ln(h / l), 2) END) OVER {{20}} / (4 * 20 * ln(2.0))), 8) END",
-    "garman_klass": f"CASE WHEN n >= 20 THEN round(sqrt(avg(CASE WHEN {_POS} THEN greatest(0.0, 0.5 * power(ln(h / l), 2) - (2 * ln(2.0) - 1) * power(ln(c / o), 2)) END) OVER {{20}}), 8) END",
-    "rogers_satchell": f"CASE WHEN n >= 20 THEN round(avg(CASE WHEN {_POS} THEN ln(h / c) * ln(h / o) + ln(l / c) * ln(l / o) END) OVER {{20}}, 10) END",
-    "realized_var_30": "CASE WHEN n > 30 THEN round(sum(power(r, 2)) OVER {30}, 10) END",
-    "hv_30": "CASE WHEN n > 30 THEN round(sqrt(sum(power(r, 2)) OVER {30} * 31536000000.0 / len_ms), 8) END",
-    "overnight_var": "CASE WHEN n > 20 THEN round(var_samp(g) OVER {20}, 10) END",
-    "open_close_var": "CASE WHEN n >= 20 THEN round(var_samp(d) OVER {20}, 10) END",
+    "parkinson": f"CASE WHEN {_ALL} THEN round(sqrt(sum({_HL}) OVER {{20}} / (4 * 20 * ln(2D))), 8) END",
+    "garman_klass": f"CASE WHEN {_ALL} AND avg({_GK}) OVER {{20}} >= 0 THEN round(sqrt(avg({_GK}) OVER {{20}}), 8) END",
+    "garman_klass_floored": f"CASE WHEN n >= 20 THEN round(sqrt(avg(CASE WHEN {_POS} THEN greatest(0D, {_GK}) END) OVER {{20}}), 8) END",
+    "rogers_satchell": f"CASE WHEN {_ALL} AND avg({_RS}) OVER {{20}} >= 0 THEN round(sqrt(avg({_RS}) OVER {{20}}), 8) END",
+    "yang_zhang_30": f"CASE WHEN n > 30 THEN round(sqrt(coalesce(avg(g * g) OVER {{30}}, 0D) + {_K30} * coalesce(avg(d * d) OVER {{30}}, 0D) + (1 - {_K30}) * greatest(0D, avg({_RS}) OVER {{30}})), 8) END",
+    "parkinson_adjusted_30": f"CASE WHEN n > 30 THEN round(sqrt(coalesce(avg(g * g) OVER {{30}}, 0D) + coalesce(sum({_HL}) OVER {{30}}, 0D) / (4 * ln(2D) * 30)), 8) END",
+    "realized_var_30": "CASE WHEN n > 30 THEN round(sum(r * r) OVER {30}, 10) END",
+    "hv_30": "CASE WHEN n > 30 THEN round(sqrt(sum(r * r) OVER {30} * 31536000000D / len_ms), 8) END",
+    "overnight_var": "CASE WHEN n > 20 THEN round(avg(g * g) OVER {20}, 10) END",
+    "open_close_var": "CASE WHEN n >= 20 THEN round(avg(d * d) OVER {20}, 10) END",
     "volatility_ratio": "CASE WHEN n > 50 THEN round(avg(tr) OVER {10} / nullif(avg(tr) OVER {50}, 0), 6) END",
-    "atr_14": "CASE WHEN n > 14 THEN round(avg(tr) OVER {14}, 8) END",
-    "normalized_range": "CASE WHEN n > 14 THEN round((h - l) / nullif(avg(tr) OVER {14}, 0), 6) END",
+    "atr_14": "CASE WHEN n > 14 AND avg(tr) OVER {14} >= 1e-8 THEN round(avg(tr) OVER {14}, 8) END",
+    "normalized_range": f"CASE WHEN n > 14 AND {_OK} THEN round((h - l) / greatest(avg(tr) OVER {{14}}, 1e-12), 4) END",
     "compression": "coalesce(n > 50 AND avg(tr) OVER {10} < 0.75 * avg(tr) OVER {50}, FALSE)",
 }
 EVENTS = {
@@ -74,9 +95,10 @@ EVENTS = {
     "break_down": "coalesce(n > 20 AND c < min(l) OVER {-20} AND min(l) OVER {-20} - c >= 0.3 * avg(tr) OVER {14}, FALSE)",
     "climax": "coalesce(n > 20 AND v > 3 * avg(v) OVER {-20} AND h - l > 2 * avg(h - l) OVER {-20}, FALSE)",
     "range_12": "coalesce(n >= 12 AND max(h) OVER {12} - min(l) OVER {12} < 1.5 * avg(tr) OVER {14}, FALSE)",
-    "forward_return_48": "round(last_value(c) OVER {+48} / nullif(c, 0) - 1, 8)",
+    "forward_return_48": "CASE WHEN {slot:-48} = slot + 48 THEN round({c:-48} / nullif(c, 0) - 1, 8) END",
     "wash_like": "coalesce(n > 20 AND v > 3 * avg(v) OVER {-20} AND abs((h - l - avg(h - l) OVER {-20}) / nullif(stddev_pop(h - l) OVER {-20}, 0)) < 0.5 AND abs(c - o) / nullif(h - l, 0) < 0.1, FALSE)",
 }
+#: Features of a group, and the bars of history and of future that they may look at.
 GROUPS = {"candle": (CANDLE, 1, 0), "trailing": (TRAILING, 48, 0), "volatility": (VOLATILITY, 51, 0), "events": (EVENTS, 21, 96)}
 #: Helper columns some features build on.
 DERIVED = {
@@ -95,7 +117,7 @@ def expand(text: str, partition: str) -> str:
         x = m.group(1)
         if ":" in x:
             col, k = x.split(":")
-            return f"lag({col}, {k}) OVER ({base})"
+            return f"lead({col}, {k[1:]}) OVER ({base})" if k[0] == "-" else f"lag({col}, {k}) OVER ({base})"
         if x[0] == "-":
             return f"({base} ROWS BETWEEN {x[1:]} PRECEDING AND 1 PRECEDING)"
         if x[0] == "+":

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from tidemark.functions.features import DERIVED, GROUPS, expand
 from tidemark.plans.upkeep_sql import _LENGTH, _READ, _ms, _slot
 
 _NUM = ", ".join(f"CAST({a} AS DOUBLE) AS {b}" for a, b in zip(("open_price", "high_price", "low_price", "close_price", "volume", "open_interest"), ("o", "h", "l", "c", "v", "oi")))
@@ -22,10 +21,116 @@ bars AS (SELECT symbol, timeframe, open_ms, o, h, l, c, v, oi, {_LENGTH} AS len_
 _CELL = "symbol, timeframe"
 
 
+# ---------------------------------------------------------------- features, from the definitions
+# Each bar carries the lists of its neighbours; every figure is worked out on these lists, not by window functions.
+
+
+def _mean(x: str) -> str:
+    return f"(list_sum({x}) / len({x}))"
+
+
+def _dev(x: str) -> str:
+    """Population deviation of a list."""
+    return f"sqrt(list_sum(list_transform({x}, lambda q: (q - list_sum({x}) / len({x})) ** 2)) / len({x}))"
+
+
+def _score(x: str, n: int) -> str:
+    return f"CASE WHEN n >= {n} THEN CASE WHEN list_max({x}) = list_min({x}) OR {_dev(x)} < 1e-12 THEN 0.0::DOUBLE ELSE round(({x}[-1] - {_mean(x)}) / {_dev(x)}, 4) END END"
+
+
+def _moment(x: str, y: str) -> str:
+    """Sum of products of the deviations of two lists."""
+    return f"list_sum(list_transform(list_zip({x}, {y}), lambda q: (q[1] - list_sum({x}) / len({x})) * (q[2] - list_sum({y}) / len({y}))))"
+
+
+_LISTED = f"""{_BARS},
+steps AS (SELECT *, h - l AS rg, lag(c) OVER w AS pc, lag(h) OVER w AS ph, lag(l) OVER w AS pl FROM bars WINDOW w AS (PARTITION BY {_CELL} ORDER BY n)),
+terms AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(rg, greatest(abs(h - pc), abs(l - pc))) END AS tr, CASE WHEN c > 0 AND pc > 0 THEN ln(c / pc) END AS r,
+  CASE WHEN o > 0 AND pc > 0 THEN ln(o / pc) END AS gap, CASE WHEN c > 0 AND o > 0 THEN ln(c / o) END AS bd, least(least(o, h), least(l, c)) AS lowest FROM steps),
+parts AS (SELECT *, CASE WHEN lowest > 0 THEN ln(h / l) ** 2 END AS hl2, CASE WHEN lowest > 0 THEN 0.5::DOUBLE * ln(h / l) ** 2 - (2 * ln(2.0::DOUBLE) - 1) * ln(c / o) ** 2 END AS gk,
+  CASE WHEN lowest > 0 THEN ln(h / c) * ln(h / o) + ln(l / c) * ln(l / o) END AS rs FROM terms),
+listed AS (SELECT *, list(c) OVER t20 AS c20, list(v) FILTER (v IS NOT NULL) OVER t20 AS v20, list(rg) OVER t20 AS rg20, list(h) OVER t14 AS h14, list(l) OVER t14 AS l14, list(c) FILTER (v IS NOT NULL) OVER t48 AS c48, list(v) FILTER (v IS NOT NULL) OVER t48 AS v48,
+    list(v) FILTER (v IS NOT NULL) OVER p20 AS pv20, list(h) OVER p20 AS ph20, list(l) OVER p20 AS pl20, list(rg) OVER p20 AS prg20, list(n::DOUBLE) OVER t20 AS n20, list(tr) OVER t14 AS tr14, list(tr) OVER p14 AS ptr14,
+    list(tr) OVER t10 AS tr10, list(tr) OVER t50 AS tr50, list(lowest) OVER t20 AS low20, list(hl2) OVER t20 AS hl20, list(gk) OVER t20 AS gk20, list(rs) OVER t20 AS rs20, list(rs) OVER t30 AS rs30,
+    list(hl2) OVER t30 AS hl30, list(r) OVER t30 AS r30, list(gap) OVER t20 AS gap20, list(gap) OVER t30 AS gap30, list(bd) OVER t20 AS bd20, list(bd) OVER t30 AS bd30,
+    list(h) OVER p2 AS ph2, list(l) OVER p2 AS pl2, list(h) OVER f2 AS fh2, list(l) OVER f2 AS fl2, list(h) OVER f96 AS fh96, list(l) OVER f96 AS fl96, list(h) OVER t12 AS h12, list(l) OVER t12 AS l12,
+    list(struct_pack(s := open_ms, c := c)) OVER f48 AS f48
+  FROM parts WINDOW t10 AS ({{0}} 9 PRECEDING), t12 AS ({{0}} 11 PRECEDING), t14 AS ({{0}} 13 PRECEDING), t20 AS ({{0}} 19 PRECEDING), t30 AS ({{0}} 29 PRECEDING), t48 AS ({{0}} 47 PRECEDING), t50 AS ({{0}} 49 PRECEDING),
+    p2 AS ({{0}} BETWEEN 2 PRECEDING AND 1 PRECEDING), p14 AS ({{0}} BETWEEN 14 PRECEDING AND 1 PRECEDING), p20 AS ({{0}} BETWEEN 20 PRECEDING AND 1 PRECEDING),
+    f2 AS ({{0}} BETWEEN 1 FOLLOWING AND 2 FOLLOWING), f48 AS ({{0}} BETWEEN 1 FOLLOWING AND 48 FOLLOWING), f96 AS ({{0}} BETWEEN 1 FOLLOWING AND 96 FOLLOWING))""".replace("{0}", f"PARTITION BY {_CELL} ORDER BY n ROWS")
+_GOOD = "h >= l AND h - l >= 1e-12"
+_CANDLE_SQL = {
+    "status": "CASE WHEN l > h THEN 'INVALID' WHEN h - l >= 1e-12 THEN 'OK' ELSE 'DEGRADED' END",
+    **{k: f"CASE WHEN {_GOOD} THEN {x} END" for k, x in {
+        "body_ratio": "round(greatest(c - o, o - c) / rg, 6)", "upper_wick": "round((CASE WHEN o > c THEN h - o ELSE h - c END) / rg, 6)", "lower_wick": "round((CASE WHEN o < c THEN o - l ELSE c - l END) / rg, 6)",
+        "close_position": "round((c - l) / rg, 4)", "bar_range": "round(rg, 8)", "body_size": "round(greatest(c - o, o - c), 8)", "is_bullish": "CAST(o <= c AS INTEGER)", "is_bearish": "CAST(o > c AS INTEGER)",
+    }.items()},
+    "is_inside": "coalesce(ph > h AND pl < l, FALSE)", "is_outside": "coalesce(ph < h AND pl > l, FALSE)", "log_return": "round(r, 8)",
+    "hour": "CAST(date_part('hour', make_timestamp(open_ms * 1000)) AS INTEGER)", "weekday": "CAST(date_part('isodow', make_timestamp(open_ms * 1000)) - 1 AS INTEGER)",
+}
+_FIXED = "CAST(CAST({} AS VARCHAR) AS DECIMAL({},{}))".format
+_PVS = f"CAST({_FIXED('h', 16, 6)} + {_FIXED('l', 16, 6)} + {_FIXED('c', 16, 6)} AS DECIMAL(19,6)) * CAST({_FIXED('v', 18, 4)} AS DECIMAL(19,4))"
+_TRAILING_SQL = {
+    "true_range": f"CASE WHEN {_GOOD} THEN round(tr, 8) END", "sma_20": f"CASE WHEN n >= 20 THEN round({_mean('c20')}, 9) END",
+    **{f"return_{k}": f"CASE WHEN n > 20 THEN round(c / nullif(lag(c, {k}) OVER w, 0) - 1, 8) END" for k in (1, 5, 20)},
+    "vwap_20": f"CASE WHEN n >= 20 THEN round(CAST(CAST(sum({_PVS}) OVER (w ROWS 19 PRECEDING) AS VARCHAR) AS DOUBLE) / nullif(CAST(CAST(sum({_FIXED('v', 18, 4)}) OVER (w ROWS 19 PRECEDING) AS VARCHAR) AS DOUBLE) * 3, 0), 9) END",
+    "volume_z": f"CASE WHEN v IS NOT NULL THEN {_score('v20', 20)} WHEN n >= 20 AND {_dev('v20')} < 1e-12 THEN 0.0::DOUBLE END", "range_z": _score("rg20", 20), "volume_ratio_prev": f"CASE WHEN n > 20 THEN round(v / nullif({_mean('pv20')}, 0), 4) END",
+    "slope_20": f"CASE WHEN n >= 20 THEN round(CAST(CAST(list_sum(list_transform(c20, lambda q, i: (2 * i - 21) * {_FIXED('q', 16, 6)})) AS VARCHAR) AS DOUBLE) / 1330, 8) END",
+    "r2_20": f"CASE WHEN n >= 20 THEN CASE WHEN list_max(c20) = list_min(c20) THEN 1.0::DOUBLE ELSE round({_moment('n20', 'c20')} ** 2 / 665.0::DOUBLE / {_moment('c20', 'c20')}, 6) END END",
+    "oi_delta": "round(oi - lag(oi) OVER w, 8)", "roc_10": "round((c / nullif(lag(c, 10) OVER w, 0) - 1) * 100, 6)",
+    "stochastic_k": "CASE WHEN n >= 14 THEN CASE WHEN list_max(h14) = list_min(l14) THEN 50.0::DOUBLE ELSE round((c - list_min(l14)) / (list_max(h14) - list_min(l14)) * 100, 6) END END",
+    "price_volume_corr": f"CASE WHEN n >= 48 THEN round({_moment('c48', 'v48')} / sqrt({_moment('c48', 'c48')} * {_moment('v48', 'v48')}), 6) END",
+    "bollinger_width": f"CASE WHEN n >= 20 THEN round(4 * {_dev('c20')} / nullif({_mean('c20')}, 0), 8) END",
+    "hl2_channel_high": "CASE WHEN n > 20 THEN list_max(ph20) END", "hl2_channel_low": "CASE WHEN n > 20 THEN list_min(pl20) END",
+}
+
+
+def _squares(x: str) -> str:
+    return f"list_sum(list_transform({x}, lambda q: q * q))"
+
+
+def _filled(x: str) -> str:
+    return f"list_filter({x}, lambda q: q IS NOT NULL)"
+
+
+def _msq(x: str) -> str:
+    return f"({_squares(_filled(x))} / nullif(len({_filled(x)}), 0))"
+
+
+_K = "(0.34::DOUBLE / (1.34::DOUBLE + 31.0::DOUBLE / 29.0::DOUBLE))"
+_WHOLE = "n >= 20 AND list_min(low20) > 0"
+_VOLATILITY_SQL = {
+    "parkinson": f"CASE WHEN {_WHOLE} THEN round(sqrt(list_sum(hl20) / (4 * 20 * ln(2.0::DOUBLE))), 8) END",
+    "garman_klass": f"CASE WHEN {_WHOLE} AND list_sum(gk20) >= 0 THEN round(sqrt(list_sum(gk20) / 20), 8) END",
+    "garman_klass_floored": f"CASE WHEN n >= 20 THEN round(sqrt(list_sum(list_transform({_filled('gk20')}, lambda q: greatest(q, 0.0::DOUBLE))) / nullif(len({_filled('gk20')}), 0)), 8) END",
+    "rogers_satchell": f"CASE WHEN {_WHOLE} AND list_sum(rs20) >= 0 THEN round(sqrt(list_sum(rs20) / 20), 8) END",
+    "yang_zhang_30": f"CASE WHEN n > 30 THEN round(sqrt(coalesce({_msq('gap30')}, 0) + {_K} * coalesce({_msq('bd30')}, 0) + (1 - {_K}) * greatest(0.0::DOUBLE, list_sum(rs30) / nullif(len({_filled('rs30')}), 0))), 8) END",
+    "parkinson_adjusted_30": f"CASE WHEN n > 30 THEN round(sqrt(coalesce({_msq('gap30')}, 0) + coalesce(list_sum(hl30), 0) / (4 * ln(2.0::DOUBLE) * 30)), 8) END",
+    "realized_var_30": f"CASE WHEN n > 30 THEN round({_squares(_filled('r30'))}, 10) END", "hv_30": f"CASE WHEN n > 30 THEN round(sqrt({_squares(_filled('r30'))} * (365.0::DOUBLE * 86400000) / len_ms), 8) END",
+    "overnight_var": f"CASE WHEN n > 20 THEN round({_msq('gap20')}, 10) END", "open_close_var": f"CASE WHEN n >= 20 THEN round({_msq('bd20')}, 10) END",
+    "volatility_ratio": f"CASE WHEN n > 50 THEN round({_mean('tr10')} / nullif({_mean('tr50')}, 0), 6) END",
+    "atr_14": f"CASE WHEN n > 14 AND {_mean('tr14')} >= 1e-8 THEN round({_mean('tr14')}, 8) END", "normalized_range": f"CASE WHEN n > 14 AND {_GOOD} THEN round(rg / greatest({_mean('tr14')}, 1e-12), 4) END",
+    "compression": f"coalesce(n > 50 AND {_mean('tr10')} < 0.75::DOUBLE * {_mean('tr50')}, FALSE)",
+}
+_ATR = _mean(_filled("tr14"))
+_EVENTS_SQL = {
+    "swing_high": "coalesce(n > 2 AND len(fh2) = 2 AND h > list_max(ph2) AND h >= list_max(fh2), FALSE)", "swing_low": "coalesce(n > 2 AND len(fl2) = 2 AND l < list_min(pl2) AND l <= list_min(fl2), FALSE)",
+    "gap_open": f"coalesce(n > 14 AND abs(o - pc) > 1.8::DOUBLE * {_mean(_filled('ptr14'))}, FALSE)",
+    "fvg": f"CASE WHEN n > 14 AND l - ph2[1] >= 0.2::DOUBLE * {_ATR} THEN 'UP' WHEN n > 14 AND pl2[1] - h >= 0.2::DOUBLE * {_ATR} THEN 'DOWN' END",
+    "fvg_lower": "CASE WHEN len(ph2) = 2 THEN CASE WHEN l > ph2[1] THEN ph2[1] WHEN pl2[1] > h THEN h END END", "fvg_upper": "CASE WHEN len(ph2) = 2 THEN CASE WHEN l > ph2[1] THEN l WHEN pl2[1] > h THEN pl2[1] END END",
+    "fvg_fill": "CASE WHEN len(ph2) = 2 THEN CASE WHEN l > ph2[1] THEN round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (l - list_min(fl96)) / (l - ph2[1]))), 6) WHEN pl2[1] > h THEN round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (list_max(fh96) - h) / (pl2[1] - h))), 6) END END",
+    "sweep_low": "coalesce(n > 20 AND l < list_min(pl20) AND c > list_min(pl20), FALSE)", "sweep_high": "coalesce(n > 20 AND h > list_max(ph20) AND c < list_max(ph20), FALSE)",
+    "break_up": f"coalesce(n > 20 AND c > list_max(ph20) AND c - list_max(ph20) >= 0.3::DOUBLE * {_ATR}, FALSE)", "break_down": f"coalesce(n > 20 AND c < list_min(pl20) AND list_min(pl20) - c >= 0.3::DOUBLE * {_ATR}, FALSE)",
+    "climax": f"coalesce(n > 20 AND v > 3 * {_mean('pv20')} AND rg > 2 * {_mean('prg20')}, FALSE)", "range_12": f"coalesce(n >= 12 AND list_max(h12) - list_min(l12) < 1.5::DOUBLE * {_ATR}, FALSE)",
+    "forward_return_48": "CASE WHEN len(f48) = 48 AND f48[48].s = CASE timeframe WHEN '1mo' THEN epoch_ms(make_timestamp(open_ms * 1000) + INTERVAL 48 MONTH) ELSE open_ms + 48 * len_ms END THEN round(f48[48].c / nullif(c, 0) - 1, 8) END",
+    "wash_like": f"coalesce(n > 20 AND v > 3 * {_mean('pv20')} AND abs((rg - {_mean('prg20')}) / nullif({_dev('prg20')}, 0)) < 0.5 AND abs(c - o) / nullif(rg, 0) < 0.1::DOUBLE, FALSE)",
+}
+_BY_GROUP = {"candle": _CANDLE_SQL, "trailing": _TRAILING_SQL, "volatility": _VOLATILITY_SQL, "events": _EVENTS_SQL}
+
+
 def _features(group: str) -> str:
-    cols = ", ".join(f"{expand(x, _CELL)} AS {n}" for n, x in GROUPS[group][0].items())
-    more = ", ".join(f"{expand(x, _CELL)} AS {n}" for n, x in DERIVED.items())
-    return f"WITH {_BARS}, more AS (SELECT *, {more} FROM bars) SELECT symbol, timeframe, open_ms, {cols} FROM more"
+    cols = ", ".join(f"{x} AS {n}" for n, x in _BY_GROUP[group].items())
+    return f"WITH {_LISTED} SELECT symbol, timeframe, open_ms, {cols} FROM listed WINDOW w AS (PARTITION BY {_CELL} ORDER BY n)"
 
 
 def _seed(a: str, n: int) -> str:
@@ -118,7 +223,7 @@ SELECT snapshot_id, CAST(sum(k) AS BIGINT) AS n, count(*) AS engines, round(CAST
 
 ORACLE = {
     "bars_clean": f"WITH {_BARS} SELECT symbol, timeframe, open_ms, o, h, l, c, v, oi FROM bars",
-    **{f"features_{g}": _features(g) for g in GROUPS},
+    **{f"features_{g}": _features(g) for g in _BY_GROUP},
     "features_folds": _FOLDS, "bars_resample_1d": _RESAMPLE, "bars_validation": _VALIDATION, "bars_frontier": _FRONTIER, "bars_last_window": _LAST,
     "volume_profile": _PROFILE, "seasonal_factors": _SEASONAL, "spread_proxies": _SPREADS, "transition_matrix": _TRANSITIONS, "coarser_asof": _COARSER,
     "window_quality": _QUALITY, "evidence_agreement": _AGREEMENT,

@@ -15,6 +15,10 @@ from tidemark.sources.tables import materialize, read_table, small_side
 # ---------------------------------------------------------------- 1 regular grid
 
 
+#: Parts of a slot to which openings are taken: a power of two, so that positions and shares are exact.
+PARTS = float(1 << 20)
+
+
 def _volume_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Segments of each cell's session volume counter, which restarts with the UTC day.
 
@@ -26,7 +30,8 @@ def _volume_segments(spark: SparkSession, sf: str) -> DataFrame:
     d = observations(read_table(spark, sf, "market_observation"), status=READING, times=("slot", "open_ms"), values=("volume",)).filter("slot IS NOT NULL")
     begin, end = (slot_start_ms(F.col("timeframe"), F.col("slot") + k) for k in (0, 1))
     day = F.floor(begin / F.lit(float(DAY))).cast("long")
-    opened = F.col("slot") + F.coalesce((F.col("open_ms") - begin) / (end - begin).cast("double"), F.lit(0.0))
+    part = F.coalesce((F.col("open_ms") - begin) / (end - begin).cast("double"), F.lit(0.0))
+    opened = F.col("slot") + F.floor(part * PARTS) / PARTS
     best = F.max_by(F.struct("volume", "opened"), "at").alias("x")
     d = d.select(*CELL, day.alias("session"), "slot", F.coalesce("retrieved_ms", F.lit(FAR)).alias("at"), "volume", opened.alias("opened"))
     one = materialize(d.groupBy(*CELL, "session", "slot").agg(best).select(*CELL, "session", "slot", "x.*"), "slots")

@@ -50,7 +50,7 @@ span AS (SELECT symbol, timeframe, min(slot) AS slot, max(slot) AS last FROM one
 grid AS (SELECT * FROM span UNION ALL
   SELECT symbol, timeframe, nxt, last FROM (SELECT *, {_next('slot')} AS nxt FROM grid) WHERE nxt <= last)
 SELECT symbol, timeframe, slot AS open_ms, CASE WHEN o.slot IS NOT NULL THEN round(greatest(coalesce(o.volume, 0), 0), 3) END AS volume,
-  CASE WHEN o.slot IS NULL THEN 0.0::DOUBLE ELSE round(1 - coalesce((o.open_ms - slot) / CAST(({_next('slot')}) - slot AS DOUBLE), 0), 6) END AS coverage,
+  CASE WHEN o.slot IS NULL THEN 0.0::DOUBLE ELSE round(1 - floor(coalesce((o.open_ms - slot) / CAST(({_next('slot')}) - slot AS DOUBLE), 0) * 1048576) / 1048576.0::DOUBLE, 6) END AS coverage,
   CASE WHEN o.slot IS NULL THEN 'lacking' ELSE 'measured' END AS status
 FROM grid LEFT JOIN one o USING (symbol, timeframe, slot)"""
 
