@@ -53,7 +53,7 @@ TRAILING = {
     "oi_delta": "round(oi - {oi:1}, 8)",
     "roc_10": "round((c / nullif({c:10}, 0) - 1) * 100, 6)",
     "stochastic_k": "CASE WHEN n >= 14 THEN CASE WHEN max(h) OVER {14} = min(l) OVER {14} THEN 50.0 ELSE round((c - min(l) OVER {14}) / nullif(max(h) OVER {14} - min(l) OVER {14}, 0) * 100, 6) END END",
-    "price_volume_corr": "CASE WHEN n >= 48 THEN round(corr(c, v) OVER {48}, 6) END",
+    "price_volume_corr": "CASE WHEN n >= 48 THEN round(covar_pop(c, v) OVER {48} / nullif(stddev_pop(CASE WHEN v IS NOT NULL THEN c END) OVER {48} * stddev_pop(v) OVER {48}, 0), 6) END",
     "bollinger_width": "CASE WHEN n >= 20 THEN round(4 * stddev_pop(c) OVER {20} / nullif(avg(c) OVER {20}, 0), 8) END",
     "hl2_channel_high": "CASE WHEN n > 20 THEN max(h) OVER {-20} END",
     "hl2_channel_low": "CASE WHEN n > 20 THEN min(l) OVER {-20} END",
@@ -98,14 +98,39 @@ EVENTS = {
     "forward_return_48": "CASE WHEN {slot:-48} = slot + 48 THEN round({c:-48} / nullif(c, 0) - 1, 8) END",
     "wash_like": "coalesce(n > 20 AND v > 3 * avg(v) OVER {-20} AND abs((h - l - avg(h - l) OVER {-20}) / nullif(stddev_pop(h - l) OVER {-20}, 0)) < 0.5 AND abs(c - o) / nullif(h - l, 0) < 0.1, FALSE)",
 }
+
+
+def _past(x: str, n: int) -> str:
+    """Score of x among the n values before it; 0 where they are all equal."""
+    return f"CASE WHEN n > {n} THEN CASE WHEN stddev_pop({x}) OVER {{-{n}}} < 1e-12 THEN 0D ELSE ({x} - avg({x}) OVER {{-{n}}}) / stddev_pop({x}) OVER {{-{n}}} END END"
+
+
+_VZ, _RZ = _past("v", 50), _past("(h - l)", 50)
+_OZ = "CASE WHEN doi IS NOT NULL AND count(doi) OVER {-20} = 20 AND stddev_pop(doi) OVER {-20} >= 1e-12 THEN (doi - avg(doi) OVER {-20}) / stddev_pop(doi) OVER {-20} END"
+_SIDE, _PLACE = "signum(c - o)", "CASE WHEN h > l THEN 2 * (c - l) / (h - l) - 1 ELSE 0D END"
+PARTICIPATION = {
+    "volume_z_prior": f"round({_VZ}, 4)",
+    "range_z_prior": f"round({_RZ}, 4)",
+    "oi_change_z": f"round({_OZ}, 4)",
+    "effort_result": f"round(({_VZ}) * ({_RZ}) * signum(c - {{c:1}}), 6)",
+    "accumulation": f"CASE WHEN n > 50 THEN round((0.25D * tanh({_SIDE}) + 0.25D * tanh({_PLACE}) + 0.15D * tanh(({_RZ}) / 2) + 0.2D * tanh(({_VZ}) / 2) + coalesce(0.15D * tanh(({_OZ}) / 2), 0D)) / CASE WHEN ({_OZ}) IS NULL THEN 0.85D ELSE 1D END, 6) END",
+    "is_climax": f"coalesce(n > 50 AND v >= 2.5 * avg(v) OVER {{-20}} AND ({_RZ}) >= 2, FALSE)",
+    "is_dry": "coalesce(n > 20 AND v <= 0.4 * avg(v) OVER {-20}, FALSE)",
+    "effort_without_result": f"coalesce(n > 50 AND ({_VZ}) > 1.5 AND abs({_RZ}) < 0.5, FALSE)",
+    "effort_with_result": f"coalesce(n > 50 AND ({_VZ}) > 1.5 AND abs({_RZ}) > 1.5, FALSE)",
+    "oi_state": "CASE WHEN oi IS NULL THEN 'MISSING' WHEN count(oi) OVER {5} = 5 AND max(oi) OVER {5} = min(oi) OVER {5} THEN 'STALE' ELSE 'AVAILABLE' END",
+    "volume_effort_corr": "CASE WHEN n > 20 AND count(v) OVER {20} = 20 THEN round(covar_pop(v, abs(r)) OVER {20} / nullif(stddev_pop(CASE WHEN r IS NOT NULL THEN v END) OVER {20} * stddev_pop(CASE WHEN v IS NOT NULL THEN abs(r) END) OVER {20}, 0), 6) END",
+}
+
 #: Features of a group, and the bars of history and of future that they may look at.
-GROUPS = {"candle": (CANDLE, 1, 0), "trailing": (TRAILING, 48, 0), "volatility": (VOLATILITY, 51, 0), "events": (EVENTS, 21, 96)}
+GROUPS = {"candle": (CANDLE, 1, 0), "trailing": (TRAILING, 48, 0), "volatility": (VOLATILITY, 51, 0), "events": (EVENTS, 21, 96), "participation": (PARTICIPATION, 51, 0)}
 #: Helper columns some features build on.
 DERIVED = {
     "tr": f"CASE WHEN {{c:1}} IS NOT NULL THEN {TR} END",
     "r": "CASE WHEN c > 0 AND {c:1} > 0 THEN ln(c / {c:1}) END",
     "g": "CASE WHEN o > 0 AND {c:1} > 0 THEN ln(o / {c:1}) END",
     "d": "CASE WHEN c > 0 AND o > 0 THEN ln(c / o) END",
+    "doi": "oi - {oi:1}",
 }
 
 

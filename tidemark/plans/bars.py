@@ -40,7 +40,7 @@ def features(d: DataFrame, group: str) -> DataFrame:
     exprs, before, after = GROUPS[group]
     part = "symbol, timeframe, _chunk"
     d = with_halo(d, CELL, "n", before=before + 1, after=after)
-    if group in ("volatility", "events"):
+    if group in ("volatility", "events", "participation"):
         d = d.withColumn("len_ms", length_ms(F.col("timeframe"))).selectExpr("*", *[f"{expand(x, part)} AS {n}" for n, x in DERIVED.items()])
     d = d.selectExpr("symbol", "timeframe", "open_ms", "_own", "_chunk", *[f"{expand(x, part)} AS {n}" for n, x in exprs.items()])
     return d.filter("_own = _chunk").drop("_own", "_chunk")

@@ -44,7 +44,7 @@ def _moment(x: str, y: str) -> str:
 
 
 _LISTED = f"""{_BARS},
-steps AS (SELECT *, h - l AS rg, lag(c) OVER w AS pc, lag(h) OVER w AS ph, lag(l) OVER w AS pl FROM bars WINDOW w AS (PARTITION BY {_CELL} ORDER BY n)),
+steps AS (SELECT *, h - l AS rg, lag(c) OVER w AS pc, lag(h) OVER w AS ph, lag(l) OVER w AS pl, oi - lag(oi) OVER w AS doi FROM bars WINDOW w AS (PARTITION BY {_CELL} ORDER BY n)),
 terms AS (SELECT *, CASE WHEN pc IS NOT NULL THEN greatest(rg, greatest(abs(h - pc), abs(l - pc))) END AS tr, CASE WHEN c > 0 AND pc > 0 THEN ln(c / pc) END AS r,
   CASE WHEN o > 0 AND pc > 0 THEN ln(o / pc) END AS gap, CASE WHEN c > 0 AND o > 0 THEN ln(c / o) END AS bd, least(least(o, h), least(l, c)) AS lowest FROM steps),
 parts AS (SELECT *, CASE WHEN lowest > 0 THEN ln(h / l) ** 2 END AS hl2, CASE WHEN lowest > 0 THEN 0.5::DOUBLE * ln(h / l) ** 2 - (2 * ln(2.0::DOUBLE) - 1) * ln(c / o) ** 2 END AS gk,
@@ -54,9 +54,10 @@ listed AS (SELECT *, list(c) OVER t20 AS c20, list(v) FILTER (v IS NOT NULL) OVE
     list(tr) OVER t10 AS tr10, list(tr) OVER t50 AS tr50, list(lowest) OVER t20 AS low20, list(hl2) OVER t20 AS hl20, list(gk) OVER t20 AS gk20, list(rs) OVER t20 AS rs20, list(rs) OVER t30 AS rs30,
     list(hl2) OVER t30 AS hl30, list(r) OVER t30 AS r30, list(gap) OVER t20 AS gap20, list(gap) OVER t30 AS gap30, list(bd) OVER t20 AS bd20, list(bd) OVER t30 AS bd30,
     list(h) OVER p2 AS ph2, list(l) OVER p2 AS pl2, list(h) OVER f2 AS fh2, list(l) OVER f2 AS fl2, list(h) OVER f96 AS fh96, list(l) OVER f96 AS fl96, list(h) OVER t12 AS h12, list(l) OVER t12 AS l12,
-    list(struct_pack(s := open_ms, c := c)) OVER f48 AS f48
+    list(struct_pack(s := open_ms, c := c)) OVER f48 AS f48, list(v) FILTER (v IS NOT NULL) OVER p50 AS pv50, list(rg) OVER p50 AS prg50, list(doi) FILTER (doi IS NOT NULL) OVER p20 AS pdoi20, list(oi) FILTER (oi IS NOT NULL) OVER t5 AS oi5,
+    list(abs(r)) FILTER (v IS NOT NULL AND r IS NOT NULL) OVER t20 AS ar20, list(v) FILTER (v IS NOT NULL AND r IS NOT NULL) OVER t20 AS vr20
   FROM parts WINDOW t10 AS ({{0}} 9 PRECEDING), t12 AS ({{0}} 11 PRECEDING), t14 AS ({{0}} 13 PRECEDING), t20 AS ({{0}} 19 PRECEDING), t30 AS ({{0}} 29 PRECEDING), t48 AS ({{0}} 47 PRECEDING), t50 AS ({{0}} 49 PRECEDING),
-    p2 AS ({{0}} BETWEEN 2 PRECEDING AND 1 PRECEDING), p14 AS ({{0}} BETWEEN 14 PRECEDING AND 1 PRECEDING), p20 AS ({{0}} BETWEEN 20 PRECEDING AND 1 PRECEDING),
+    p50 AS ({{0}} BETWEEN 50 PRECEDING AND 1 PRECEDING), t5 AS ({{0}} 4 PRECEDING), p2 AS ({{0}} BETWEEN 2 PRECEDING AND 1 PRECEDING), p14 AS ({{0}} BETWEEN 14 PRECEDING AND 1 PRECEDING), p20 AS ({{0}} BETWEEN 20 PRECEDING AND 1 PRECEDING),
     f2 AS ({{0}} BETWEEN 1 FOLLOWING AND 2 FOLLOWING), f48 AS ({{0}} BETWEEN 1 FOLLOWING AND 48 FOLLOWING), f96 AS ({{0}} BETWEEN 1 FOLLOWING AND 96 FOLLOWING))""".replace("{0}", f"PARTITION BY {_CELL} ORDER BY n ROWS")
 _GOOD = "h >= l AND h - l >= 1e-12"
 _CANDLE_SQL = {
@@ -79,7 +80,7 @@ _TRAILING_SQL = {
     "r2_20": f"CASE WHEN n >= 20 THEN CASE WHEN list_max(c20) = list_min(c20) THEN 1.0::DOUBLE ELSE round({_moment('n20', 'c20')} ** 2 / 665.0::DOUBLE / {_moment('c20', 'c20')}, 6) END END",
     "oi_delta": "round(oi - lag(oi) OVER w, 8)", "roc_10": "round((c / nullif(lag(c, 10) OVER w, 0) - 1) * 100, 6)",
     "stochastic_k": "CASE WHEN n >= 14 THEN CASE WHEN list_max(h14) = list_min(l14) THEN 50.0::DOUBLE ELSE round((c - list_min(l14)) / (list_max(h14) - list_min(l14)) * 100, 6) END END",
-    "price_volume_corr": f"CASE WHEN n >= 48 THEN round({_moment('c48', 'v48')} / sqrt({_moment('c48', 'c48')} * {_moment('v48', 'v48')}), 6) END",
+    "price_volume_corr": f"CASE WHEN n >= 48 THEN round({_moment('c48', 'v48')} / CASE WHEN list_max(c48) > list_min(c48) AND list_max(v48) > list_min(v48) THEN sqrt({_moment('c48', 'c48')} * {_moment('v48', 'v48')}) END, 6) END",
     "bollinger_width": f"CASE WHEN n >= 20 THEN round(4 * {_dev('c20')} / nullif({_mean('c20')}, 0), 8) END",
     "hl2_channel_high": "CASE WHEN n > 20 THEN list_max(ph20) END", "hl2_channel_low": "CASE WHEN n > 20 THEN list_min(pl20) END",
 }
@@ -125,7 +126,25 @@ _EVENTS_SQL = {
     "forward_return_48": "CASE WHEN len(f48) = 48 AND f48[48].s = CASE timeframe WHEN '1mo' THEN epoch_ms(make_timestamp(open_ms * 1000) + INTERVAL 48 MONTH) ELSE open_ms + 48 * len_ms END THEN round(f48[48].c / nullif(c, 0) - 1, 8) END",
     "wash_like": f"coalesce(n > 20 AND v > 3 * {_mean('pv20')} AND abs((rg - {_mean('prg20')}) / nullif({_dev('prg20')}, 0)) < 0.5 AND abs(c - o) / nullif(rg, 0) < 0.1::DOUBLE, FALSE)",
 }
-_BY_GROUP = {"candle": _CANDLE_SQL, "trailing": _TRAILING_SQL, "volatility": _VOLATILITY_SQL, "events": _EVENTS_SQL}
+
+
+def _prior(x: str, past: str, n: int) -> str:
+    return f"CASE WHEN n > {n} AND {x} IS NOT NULL THEN CASE WHEN list_max({past}) = list_min({past}) OR {_dev(past)} < 1e-12 THEN 0.0::DOUBLE ELSE ({x} - {_mean(past)}) / {_dev(past)} END END"
+
+
+_PVZ, _PRZ = f"({_prior('v', 'pv50', 50)})", f"({_prior('rg', 'prg50', 50)})"
+_POZ = f"(CASE WHEN doi IS NOT NULL AND len(pdoi20) = 20 AND list_max(pdoi20) <> list_min(pdoi20) THEN (doi - {_mean('pdoi20')}) / {_dev('pdoi20')} END)"
+_TANH = "((exp(2 * ({0})) - 1) / (exp(2 * ({0})) + 1))".format
+_PARTICIPATION_SQL = {
+    "volume_z_prior": f"round({_PVZ}, 4)", "range_z_prior": f"round({_PRZ}, 4)", "oi_change_z": f"round({_POZ}, 4)", "effort_result": f"round({_PVZ} * {_PRZ} * sign(c - pc), 6)",
+    "accumulation": f"CASE WHEN n > 50 THEN round((0.25::DOUBLE * {_TANH('sign(c - o)')} + 0.25::DOUBLE * {_TANH('CASE WHEN h > l THEN 2 * (c - l) / rg - 1 ELSE 0 END')} + 0.15::DOUBLE * {_TANH(f'least(greatest({_PRZ} / 2, -300), 300)')} + CASE WHEN {_PVZ} IS NULL THEN NULL ELSE 0.2::DOUBLE * {_TANH(f'least(greatest({_PVZ} / 2, -300), 300)')} END"
+      f" + CASE WHEN {_POZ} IS NULL THEN 0 ELSE 0.15::DOUBLE * {_TANH(f'least(greatest({_POZ} / 2, -300), 300)')} END) / CASE WHEN {_POZ} IS NULL THEN 0.85::DOUBLE ELSE 1 END, 6) END",
+    "is_climax": f"coalesce(n > 50 AND v >= 2.5::DOUBLE * {_mean('pv20')} AND {_PRZ} >= 2, FALSE)", "is_dry": f"coalesce(n > 20 AND v <= 0.4::DOUBLE * {_mean('pv20')}, FALSE)",
+    "effort_without_result": f"coalesce(n > 50 AND {_PVZ} > 1.5 AND abs({_PRZ}) < 0.5, FALSE)", "effort_with_result": f"coalesce(n > 50 AND {_PVZ} > 1.5 AND abs({_PRZ}) > 1.5, FALSE)",
+    "oi_state": "CASE WHEN oi IS NULL THEN 'MISSING' WHEN len(oi5) = 5 AND list_max(oi5) = list_min(oi5) THEN 'STALE' ELSE 'AVAILABLE' END",
+    "volume_effort_corr": f"CASE WHEN n > 20 AND len(v20) = 20 THEN round({_moment('vr20', 'ar20')} / CASE WHEN list_max(vr20) > list_min(vr20) AND list_max(ar20) > list_min(ar20) THEN sqrt({_moment('vr20', 'vr20')} * {_moment('ar20', 'ar20')}) END, 6) END",
+}
+_BY_GROUP = {"candle": _CANDLE_SQL, "trailing": _TRAILING_SQL, "volatility": _VOLATILITY_SQL, "events": _EVENTS_SQL, "participation": _PARTICIPATION_SQL}
 
 
 def _features(group: str) -> str:
@@ -209,6 +228,14 @@ SELECT f.symbol, f.open_ms, f.c, a.open_ms AS open_1h, a.c AS c_1h, b.open_ms AS
 ASOF LEFT JOIN (SELECT * FROM k WHERE timeframe = '1h') a ON a.symbol = f.symbol AND f.close_ms >= a.close_ms
 ASOF LEFT JOIN (SELECT * FROM k WHERE timeframe = '1d') b ON b.symbol = f.symbol AND f.close_ms >= b.close_ms"""
 
+# two steps up (else one) and four (else the coarsest), written out from the ladder of timeframes
+_LADDER = ["1m", "3m", "5m", "15m", "30m", "1h", "2h", "4h", "6h", "8h", "12h", "1d", "1w", "1mo"]
+_PAIRS = ", ".join(f"('{t}', {repr(_LADDER[min(i + 2, 13)]) if i < 13 else 'NULL'}, {repr(_LADDER[min(i + 4, 13)]) if i < 13 else 'NULL'})" for i, t in enumerate(_LADDER))
+_COARSER_ALL = f"""WITH {_BARS}, k AS (SELECT *, CASE timeframe WHEN '1mo' THEN epoch_ms(make_timestamp(open_ms * 1000) + INTERVAL 1 MONTH) ELSE open_ms + len_ms END AS close_ms FROM bars),
+f AS (SELECT k.*, w.mid, w.high FROM k JOIN (VALUES {_PAIRS}) w(tf, mid, high) ON w.tf = k.timeframe)
+SELECT f.symbol, f.timeframe, f.open_ms, f.c, f.mid AS tf_mid, a.open_ms AS open_mid, a.c AS c_mid, f.high AS tf_high, b.open_ms AS open_high, b.c AS c_high FROM f
+ASOF LEFT JOIN k a ON a.symbol = f.symbol AND a.timeframe = f.mid AND f.close_ms >= a.close_ms ASOF LEFT JOIN k b ON b.symbol = f.symbol AND b.timeframe = f.high AND f.close_ms >= b.close_ms"""
+
 _QUALITY = f"""WITH {_BARS},
 q AS (SELECT DISTINCT quality_id, observation_id, q_raw FROM quality_vector WHERE q_raw IS NOT NULL AND NOT isnan(q_raw)),
 p AS (SELECT observation_id, symbol, timeframe, {_slot('coalesce(t_open, t_close - 1)')} AS open_ms FROM once),
@@ -225,6 +252,6 @@ ORACLE = {
     "bars_clean": f"WITH {_BARS} SELECT symbol, timeframe, open_ms, o, h, l, c, v, oi FROM bars",
     **{f"features_{g}": _features(g) for g in _BY_GROUP},
     "features_folds": _FOLDS, "bars_resample_1d": _RESAMPLE, "bars_validation": _VALIDATION, "bars_frontier": _FRONTIER, "bars_last_window": _LAST,
-    "volume_profile": _PROFILE, "seasonal_factors": _SEASONAL, "spread_proxies": _SPREADS, "transition_matrix": _TRANSITIONS, "coarser_asof": _COARSER,
+    "volume_profile": _PROFILE, "seasonal_factors": _SEASONAL, "spread_proxies": _SPREADS, "transition_matrix": _TRANSITIONS, "coarser_asof": _COARSER, "coarser_all": _COARSER_ALL,
     "window_quality": _QUALITY, "evidence_agreement": _AGREEMENT,
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.plans.bars_sql import _BARS
-from tidemark.plans.research_sql import _TRADES
+from tidemark.plans.research_sql import _DOWN, _STEP, _TRADES, _UP, _W
 
 # the walk: the first signal of a cell, then each first one after the exit before
 _SINGLE = f"""{_TRADES},
@@ -33,4 +33,11 @@ others AS (SELECT b.timeframe, b.fold, x.fold AS seen, x.s AS got FROM best b JO
 ranked AS (SELECT o.timeframe, o.fold, o.seen, count(*) FILTER (g.s <= o.got) / CAST(count(*) AS DOUBLE) AS rank FROM others o JOIN sums g ON g.timeframe = o.timeframe AND g.fold = o.seen GROUP BY ALL)
 SELECT timeframe, count(*) AS pairs, round(avg(CASE WHEN rank <= 0.5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS pbo, round(avg(rank), 6) AS mean_rank FROM ranked GROUP BY ALL"""
 
-ORACLE = {"walk_forward": WALK, "stress": STRESS, "benchmark": BENCHMARK, "shrunken_rates": RATES, "single_replay": SINGLE, "overfitting": PBO}
+SINGLE_METRICS = f"""WITH RECURSIVE {_SINGLE}, m AS (SELECT timeframe, count(*) AS n, count(*) FILTER (r > 0) AS wins, {_D('sum(r)')} AS total, stddev_samp(CAST(r AS DOUBLE)) AS sd, {_D('sum(r) FILTER (r > 0)')} AS up, {_D('-sum(r) FILTER (r < 0)')} AS down FROM timed GROUP BY ALL)
+SELECT timeframe, n, round(wins / CAST(n AS DOUBLE), 6) AS win_rate, round(total / n, 6) AS expectancy, round(sd, 6) AS deviation, round(up / nullif(down, 0), 6) AS profit_factor, round(total / n / nullif(sd, 0), 6) AS mean_to_deviation FROM m"""
+SINGLE_DRAWDOWN = f"""WITH RECURSIVE {_SINGLE}, q AS (SELECT symbol, timeframe, n, sum(r) OVER ({_W}) AS equity FROM timed), p AS (SELECT *, greatest(max(equity) OVER ({_W}), 0) - equity AS fall FROM q)
+SELECT symbol, timeframe, count(*) AS n, CAST(arg_max(equity, n) AS DOUBLE) AS equity, CAST(max(fall) AS DOUBLE) AS max_drawdown FROM p GROUP BY ALL"""
+SINGLE_TEST = f"""WITH RECURSIVE {_SINGLE}, q AS (SELECT symbol, timeframe, n, sum(CAST({_STEP} AS DECIMAL(18,9))) OVER ({_W}) AS llr FROM timed), v AS (SELECT *, CASE WHEN llr >= {_UP} THEN 'ACCEPT' WHEN llr <= {_DOWN} THEN 'REJECT' END AS v FROM q)
+SELECT symbol, timeframe, count(*) AS trades, coalesce(min(n) FILTER (v IS NOT NULL), -1) AS decided_at, coalesce(arg_min(v, n) FILTER (v IS NOT NULL), 'CONTINUE') AS verdict, round(CAST(arg_max(llr, n) AS DOUBLE), 6) AS llr FROM v GROUP BY ALL"""
+
+ORACLE = {"single_metrics": SINGLE_METRICS, "single_drawdown": SINGLE_DRAWDOWN, "single_test": SINGLE_TEST, "walk_forward": WALK, "stress": STRESS, "benchmark": BENCHMARK, "shrunken_rates": RATES, "single_replay": SINGLE, "overfitting": PBO}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
@@ -41,8 +41,13 @@ def winsorised(tr: np.ndarray) -> np.ndarray:
 
 def regimes(hv: np.ndarray, window: int) -> np.ndarray:
     """Regime of each value among the ``window`` values before it; NORMAL until there are more of them."""
+    return ranked(hv, window)[0]
+
+
+def ranked(hv: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`regimes`, and each value's mid-rank among the up to ``window`` before it, NaN under 50 of these."""
     held: list[float] = []
-    out = np.full(len(hv), 2, dtype=np.int64)
+    out, rank = np.full(len(hv), 2, dtype=np.int64), np.full(len(hv), np.nan)
     for i, x in enumerate(hv):
         if i > window:
             cuts = []
@@ -51,10 +56,12 @@ def regimes(hv: np.ndarray, window: int) -> np.ndarray:
                 lo = int(at)
                 cuts.append(held[lo] + (held[min(lo + 1, window - 1)] - held[lo]) * (at - lo))
             out[i] = sum(x >= c for c in cuts)
+        if len(held) >= 50:
+            rank[i] = (bisect_left(held, x) + bisect_right(held, x)) / 2 / len(held)
         insort(held, x)
         if len(held) > window:
             del held[bisect_left(held, hv[i - window])]
-    return out
+    return out, rank
 
 
 def squeezes(vr: np.ndarray, bw: np.ndarray) -> np.ndarray:
@@ -104,15 +111,16 @@ def bar_state(p: pd.DataFrame) -> pd.DataFrame:
         ewma[1] = sq[1]
         ewma[2:] = linear_recursion(sq[2:], LAMBDA, 1 - LAMBDA, sq[1])
     window = max(30, round(REGIME_DAYS * DAY / float(p["len_ms"].iloc[0])))
-    regime = np.concatenate([[2], regimes(hv[1:], window)]) if len(hv) else np.zeros(0, dtype=int)
+    kind, rank = ranked(hv[1:], window)
+    regime, rank = (np.concatenate([[a], b]) if len(hv) else b for a, b in ((2, kind), (np.nan, rank)))
     tight = (vr <= 0.75) & (bw <= 0.12) & (rz <= -0.5)
     return pd.DataFrame({
         "n": p["n"], "tr_winsorised": tr, "atr_14": short, "atr_50": long, "volatility_ratio": vr, "bollinger_width": bw, "range_z": rz, "hv_30": np.where(np.arange(len(hv)) > 0, hv, np.nan),
-        "ewma_vol": np.sqrt(ewma), "regime": np.array(REGIMES, dtype=object)[regime], "is_tight": tight, "in_squeeze": squeezes(vr, bw), "is_extreme": rz >= 3.5,
+        "ewma_vol": np.sqrt(ewma), "hv_rank": rank, "regime": np.array(REGIMES, dtype=object)[regime], "is_tight": tight, "in_squeeze": squeezes(vr, bw), "is_extreme": rz >= 3.5,
     })
 
 
-_STATE = "tr_winsorised double, atr_14 double, atr_50 double, volatility_ratio double, bollinger_width double, range_z double, hv_30 double, ewma_vol double, regime string, is_tight boolean, in_squeeze boolean, is_extreme boolean"
+_STATE = "tr_winsorised double, atr_14 double, atr_50 double, volatility_ratio double, bollinger_width double, range_z double, hv_30 double, ewma_vol double, hv_rank double, regime string, is_tight boolean, in_squeeze boolean, is_extreme boolean"
 #: Bars of a chunk: twice the longest regime window, that of 1m.
 SPAN = 1 << 19
 
@@ -125,7 +133,7 @@ def states(spark: SparkSession, sf: str) -> DataFrame:
     d = numbered_bars(spark, sf).withColumn("len_ms", length_ms(F.col("timeframe")))
     d = d.select(*CELL, "n", "open_ms", "o", "h", "l", "c", "len_ms")
     out = chunk_fold(d, CELL, "n", lambda p: bar_state(p).assign(open_ms=p["open_ms"].to_numpy()), "open_ms long, " + _STATE, before=SPAN // 2, chunk=SPAN)
-    number = ("tr_winsorised", "atr_14", "atr_50", "volatility_ratio", "bollinger_width", "range_z", "hv_30", "ewma_vol")
+    number = ("tr_winsorised", "atr_14", "atr_50", "volatility_ratio", "bollinger_width", "range_z", "hv_30", "ewma_vol", "hv_rank")
     clean = [F.when(~F.isnan(c), F.round(c, 8)).alias(c) for c in number]
     return out.select(*CELL, "open_ms", *clean, "regime", "is_tight", "in_squeeze", "is_extreme")
 
