@@ -123,7 +123,8 @@ def tight_ranges(b: Bars) -> list[dict]:
 
 
 def false_moves(b: Bars) -> list[dict]:
-    """Bars at which a move of at most a quarter range over the last ten closes has been taken back in full within three bars."""
+    """Bars three after the far point of a move of at most a quarter range from the close nine bars before, when it has been
+    taken back in full within these three bars."""
     out = []
     atr = trailing(b.tr[1:], 20, lead=1)
     for t in range(9, len(b)):
@@ -134,10 +135,9 @@ def false_moves(b: Bars) -> list[dict]:
         for sign, name in ((1, "FALSE_MOVE_DOWN"), (-1, "FALSE_MOVE_UP")):
             k = int((-sign * x).argmax())
             size = -sign * x[k]
-            if 0 < size <= 0.25 * a and k + 3 < 10 and sign * (x[9] - x[k]) >= size and 9 - k <= 3 + (6 - k):
-                back = next((j for j in range(k + 1, k + 4) if sign * (x[j] - x[k]) >= size), None)
-                if back == 9:
-                    out.append({"at": t, "event": name, "size": size / a, "turn": float(back - k)})
+            back = next((j for j in range(k + 1, min(k + 4, 10)) if sign * (x[j] - x[k]) >= size), None)
+            if 0 < size <= 0.25 * a and k == 6 and back:
+                out.append({"at": t, "event": name, "size": size / a, "turn": float(back - k)})
     return out
 
 
