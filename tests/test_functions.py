@@ -175,6 +175,7 @@ def test_levels_and_pools():
     prices = np.array([100.0, 100.1, 100.2, 100.9, 105.0])
     groups = structure.equal_levels(prices, 0.2)
     assert [list(g) for g in groups] == [[100.0, 100.1, 100.2], [100.9], [105.0]] and structure.equal_levels(np.zeros(0), 1) == []
+    assert [list(g) for g in structure.equal_levels(np.array([1.0, 1.35, 1.35]), 0.2)] == [[1.0], [1.35, 1.35]]
     rnd = random.Random(5)
     for _ in range(20):
         p = np.sort(np.array([rnd.uniform(0, 20) for _ in range(30)]))

@@ -385,7 +385,7 @@ def _block_life(b: Bars, z: dict) -> None:
 def equal_levels(prices: np.ndarray, tolerance: float) -> list[np.ndarray]:
     """Groups of prices in which all lie within ``tolerance`` of the group's median; ascending.
 
-    Runs no wider than twice the tolerance, split at the median while a member is too far from it.
+    Runs no wider than twice the tolerance, split at the median (or the middle of the run) while a member is too far from it.
     """
     out: list[np.ndarray] = []
     rest = np.sort(np.asarray(prices, dtype=float))
@@ -398,7 +398,8 @@ def equal_levels(prices: np.ndarray, tolerance: float) -> list[np.ndarray]:
             if np.abs(g - m).max() <= tolerance + 1e-12 or g[0] == g[-1]:
                 out.append(g)
             else:
-                todo += [x for x in (g[g > m], g[g <= m]) if len(x)]
+                cut = m if g[-1] > m else (g[0] + g[-1]) / 2  # a median that is the highest price splits nothing
+                todo += [g[g > cut], g[g <= cut]]
     return sorted(out, key=lambda g: g[0])
 
 
