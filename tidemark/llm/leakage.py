@@ -114,10 +114,16 @@ def best_passage(doc: list[str], item: list[str], doc_slots: list[str], item_slo
     """Greatest share of the item's words that one passage of the document holds in order, and the
     share of the item's placeholder slots in that passage filled with the item's own words.
 
+    A share under ``LEAK`` may be that of the whole text, which no passage exceeds.
     A passage is ``STRETCH`` times the item long at most and begins within a band of ``width`` words
     from one of ``starts`` on; beginnings are tried three words apart with a margin of two.
     """
     n = len(item)
+    have = set(doc)
+    most = sum(w in have for w in item)
+    if most < LEAK * n:  # no passage can hold more of the item's words than the whole text does
+        slots = [w for w, c in zip(item, item_slots) if c != w]
+        return most / n, sum(w in have for w in slots) / len(slots) if slots else 1.0
     bits, length = _bits(item), int(n * STRETCH) + 1
     best, where, last = 0, 0, -10
     for s in sorted({max(0, s + k) for s in starts for k in range(0, width, 3)}):
