@@ -135,6 +135,21 @@ SELECT DISTINCT record_id, field FROM k
 WHERE bad OR run >= 8 OR (n >= 12 AND CASE field WHEN 'volume' THEN value > 20 * near OR value < 0.01 * near
   WHEN 'q_ohlc' THEN abs(value - mid) > 0.1 ELSE ratio > 20 * mid END)"""
 
+# quartiles are discrete; the sketches of the query are exact while a cell has under some 2,000 values, as at sf0.01
+P5_FENCES = f"""WITH {_obs(_READ)},
+r AS (SELECT *, coalesce(retrieved_ms, 4611686018427387904) AS arr FROM slotted),
+q AS (SELECT quality_id, observation_id, min(q_ohlc) AS q_ohlc FROM quality_vector WHERE quality_id IS NOT NULL AND q_ohlc IS NOT NULL AND NOT isnan(q_ohlc) GROUP BY ALL),
+v AS (SELECT observation_id AS record_id, symbol, timeframe, slot, arr, 'high_price' AS field, high_price / nullif(greatest(open_price, close_price), 0) - 1 AS value FROM r WHERE open_price IS NOT NULL AND close_price IS NOT NULL
+  UNION ALL SELECT observation_id, symbol, timeframe, slot, arr, 'low_price', 1 - low_price / nullif(least(open_price, close_price), 0) FROM r WHERE open_price IS NOT NULL AND close_price IS NOT NULL
+  UNION ALL SELECT observation_id, symbol, timeframe, slot, arr, 'volume', volume FROM r
+  UNION ALL SELECT quality_id, symbol, timeframe, slot, arr, 'q_ohlc', q_ohlc FROM q JOIN r USING (observation_id)),
+k AS (SELECT *, CAST((slot // 3600000) % 24 AS INTEGER) AS context, abs(value - lag(value) OVER (PARTITION BY symbol, timeframe, field ORDER BY slot, arr, record_id)) AS change FROM v WHERE value IS NOT NULL),
+w AS (SELECT symbol, timeframe, field, quantile_disc(value, 0.25) AS w1, quantile_disc(value, 0.75) AS w3, quantile_disc(change, 0.75) AS normal FROM k GROUP BY ALL),
+c AS (SELECT symbol, timeframe, field, context, count(*) AS m, quantile_disc(value, 0.25) AS c1, quantile_disc(value, 0.75) AS c3 FROM k GROUP BY ALL),
+f AS (SELECT k.*, normal, CASE WHEN m >= 30 THEN c1 ELSE w1 END AS q1, CASE WHEN m >= 30 THEN c3 ELSE w3 END AS q3 FROM k JOIN w USING (symbol, timeframe, field) JOIN c USING (symbol, timeframe, field, context)),
+g AS (SELECT record_id, field, context, value < q1 - (q3 - q1) * 6 OR value > q3 + (q3 - q1) * 6 AS is_outside, coalesce(change > 4 * normal, FALSE) AS is_jump, q1 = q3 AND value = q1 AS is_flat FROM f)
+SELECT * FROM g WHERE is_outside OR is_jump OR is_flat"""
+
 _ARRIVALS = f"""{_obs('TRUE', 'AND close_time IS NOT NULL AND retrieved_at IS NOT NULL')},
 boot AS (SELECT cell_id, timeframe, cursor_ms, min(epoch_ms(updated_at)) AS arrival FROM research_bootstrap_progress
   WHERE cell_id IS NOT NULL AND cursor_ms IS NOT NULL AND updated_at IS NOT NULL GROUP BY ALL),
@@ -158,5 +173,5 @@ QUALIFY row_number() OVER (PARTITION BY evidence_id ORDER BY close_ms DESC, retr
 
 ORACLE = {
     "p1_found": P1_FOUND, "p1_grid": P1_GRID, "p2_found": P2_FOUND, "p2_paths": P2_PATHS, "p2_descendants": P2_DESCENDANTS, "p2_loops": P2_LOOPS, "p2_pairs": P2_PAIRS,
-    "p3_rolling": _p3(), "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p6_days": P6_DAYS, "p7_found": P7_FOUND,
+    "p3_rolling": _p3(), "p4_found": P4_FOUND, "p4_report": P4_REPORT, "p5_found": P5_FOUND, "p5_fences": P5_FENCES, "p6_found": P6_FOUND, "p6_days": P6_DAYS, "p7_found": P7_FOUND,
 }
