@@ -124,43 +124,57 @@ def correlation_test(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float,
 
 
 def garch_fit(returns: np.ndarray, least: int = 100) -> tuple[float, float, float, float] | None:
-    """omega, alpha, beta and the negative log-likelihood of GARCH(1,1); None where it cannot be fitted.
+    """omega, alpha, beta and the negative log-likelihood of GARCH(1,1); None where it cannot be fitted."""
+    return garch_fits([returns], least)[0]
 
-    A grid of starts is refined by coordinate steps. All starts are lanes of the same arrays, so the
-    recursion over the returns runs once per step for all of them.
-    """
-    n = len(returns)
-    if n < least:
-        return None
-    e = returns - returns.mean()
-    var, sq = float((e * e).mean()), e * e
-    if var <= 0:
-        return None
 
-    def cost(p: np.ndarray) -> np.ndarray:
-        o, a, b = p
+def garch_fits(windows: list[np.ndarray], least: int = 100, together: int = 32) -> list[tuple[float, float, float, float] | None]:
+    """:func:`garch_fit` of many windows.
+
+    A grid of starts is refined by coordinate steps. All starts of ``together`` windows of one length are
+    lanes of the same arrays, so the recursion over the returns runs once per step for all of them.
+    """
+    out: list[tuple[float, float, float, float] | None] = [None] * len(windows)
+    lengths: dict[int, list[int]] = {}
+    for i, x in enumerate(windows):
+        if len(x) >= least and float(np.var(x)) > 0:
+            lengths.setdefault(len(x), []).append(i)
+    for n, places in lengths.items():
+        for lo in range(0, len(places), together):
+            part = places[lo : lo + together]
+            for i, fit in zip(part, _garch_lanes(np.stack([windows[i] for i in part]), n)):
+                out[i] = fit
+    return out
+
+
+def _garch_lanes(returns: np.ndarray, n: int) -> list[tuple[float, float, float, float]]:
+    e = returns - returns.mean(axis=1, keepdims=True)
+    sq = np.ascontiguousarray((e * e).T)[:, :, None]  # time, window, lane
+    var = (e * e).mean(axis=1)[:, None]
+
+    def cost(o: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         ok = (o > 0) & (a >= 0) & (b >= 0) & (a + b < 0.999999)
         s = np.where(ok, o / np.where(ok, 1 - a - b, 1.0), 1.0)
-        product, total = np.zeros_like(s), sq[0] / s
-        product += np.log(s)
-        for q, before in zip(sq[1:], sq[:-1]):
-            s = np.maximum(o + a * before + b * s, 1e-12)
-            product += np.log(s)
-            total += q / s
-        return np.where(ok, 0.5 * (n * math.log(2 * math.pi) + product + total), 1e12)
-
-    grid = [(w * var, a, b) for w in (0.01, 0.05, 0.1, 0.2, 0.35, 0.5) for a in (0.02, 0.05, 0.1, 0.15, 0.2) for b in (0.6, 0.7, 0.8, 0.85, 0.9, 0.92) if a + b < 0.999]
-    p = np.array([(0.1 * var, 0.1, 0.8), (0.05 * var, 0.15, 0.8), (0.2 * var, 0.05, 0.85), *grid]).T
-    best = cost(p)
+        logs, total = np.log(s), sq[0] / s
+        for t in range(1, n):
+            s = np.maximum(o + a * sq[t - 1] + b * s, 1e-12)
+            logs += np.log(s)
+            total += sq[t] / s
+        return np.where(ok, 0.5 * (n * math.log(2 * math.pi) + logs + total), 1e12)
+
+    grid = [(w, a, b) for w in (0.01, 0.05, 0.1, 0.2, 0.35, 0.5) for a in (0.02, 0.05, 0.1, 0.15, 0.2) for b in (0.6, 0.7, 0.8, 0.85, 0.9, 0.92) if a + b < 0.999]
+    w, a, b = np.array([(0.1, 0.1, 0.8), (0.05, 0.15, 0.8), (0.2, 0.05, 0.85), *grid]).T
+    o, a, b = var * w, *(np.broadcast_to(x, (len(var), len(w))) for x in (a, b))
+    best = cost(o, a, b)
     for scale in (0.8, 0.9, 1.0, 1.1, 1.25):
         for da in (-0.02, 0.0, 0.02):
             for db in (-0.03, 0.0, 0.03):
-                new = np.stack([p[0] * scale, np.maximum(0, p[1] + da), np.maximum(0, p[2] + db)])
-                got = np.where(new[1] + new[2] >= 0.999, np.inf, cost(new))
+                o2, a2, b2 = o * scale, np.maximum(0, a + da), np.maximum(0, b + db)
+                got = np.where(a2 + b2 >= 0.999, np.inf, cost(o2, a2, b2))
                 better = got < best
-                p, best = np.where(better, new, p), np.where(better, got, best)
-    k = int(best.argmin())
-    return float(p[0, k]), float(p[1, k]), float(p[2, k]), float(best[k])
+                o, a, b, best = np.where(better, o2, o), np.where(better, a2, a), np.where(better, b2, b), np.where(better, got, best)
+    k = best.argmin(axis=1)
+    return [(float(o[i, j]), float(a[i, j]), float(b[i, j]), float(best[i, j])) for i, j in enumerate(k)]
 
 
 def har_fit(rv: np.ndarray, lag: int = 5) -> tuple[np.ndarray, np.ndarray, int] | None:

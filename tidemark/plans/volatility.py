@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.statistics import chi2_tail, garch_fit
+from tidemark.functions.statistics import chi2_tail
+from tidemark.functions.statistics import garch_fits as fit_windows
 from tidemark.functions.timegrid import DAY, length_ms
 from tidemark.operators.folds import chunk_fold, linear_recursion, wilder
 from tidemark.operators.scan import with_halo
@@ -170,7 +171,7 @@ def garch_fits(spark: SparkSession, sf: str) -> DataFrame:
 
     def fit(batches):
         for b in batches:
-            fits = [garch_fit(np.asarray(x, dtype=float), LEAST_FIT) or (math.nan,) * 4 for x in b["window"]]
+            fits = [f or (math.nan,) * 4 for f in fit_windows([np.asarray(x, dtype=float) for x in b["window"]], LEAST_FIT)]
             out = pd.DataFrame(fits, columns=["omega", "alpha", "beta", "cost"])
             out["long_var"] = out["omega"] / (1 - out["alpha"] - out["beta"])
             yield pd.concat([b[[*CELL, "open_ms"]].reset_index(drop=True), out], axis=1)
