@@ -136,6 +136,19 @@ def test_read_word():
     assert len(abuse.read_text(None)[0]) == len(abuse.read_text("x" * 100_000)[0]) == len(abuse.read_text("you idiot. " * 50_000)[0]) == len(abuse.FEATURES)
 
 
+def test_long_texts_are_read_like_short_ones():
+    """Words of a second person with two words of stalking near, against every pair; no length changes what is counted."""
+    count = lambda t: abuse.read_text(t)[0][abuse.FEATURES.index("stalk_stalk_second")]
+    assert [count("I know where you live. " * k) for k in (1, 99, 100, 3_000)] == [1, 99, 100, 3_000]
+    # words of stalking in plenty, but never two of them near one second person
+    assert [count("the house was dark. you live. " * k) for k in (1, 60, 3_000)] == [0, 0, 0]
+    rnd = random.Random(8)
+    for n in (5, 50, 150, 400, 4_000):
+        ws = [rnd.choice(["you", "your", "live", "house", *["chart"] * rnd.randrange(1, 12)]) for _ in range(n)]
+        at = {k: [i for i, w in enumerate(ws) if k in abuse.read_word(w)[1]] for k in ("second", "stalk")}
+        assert count(" ".join(ws)) == sum(sum(0 < abs(i - j) <= abuse.NEAR for j in at["stalk"]) > 1 for i in at["second"])
+
+
 def test_isotonic():
     x, p = abuse.isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert (np.diff(p) >= 0).all() and np.interp([2.5], x, p)[0] == 0.5

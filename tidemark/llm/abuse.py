@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -220,7 +220,9 @@ def read_text(text: str | None) -> tuple[np.ndarray, np.ndarray, list[int]]:
         value[f"density_{k}"] = 100.0 * len(at[k]) / n
     for a, b in (*_HOSTILE, *_CALM):
         value[f"{a}_{b}"] = float(near(b, a))
-    value["stalk_stalk_second"] = float(sum(1 for i in at["second"] if len({j for j in at["stalk"] if 0 < abs(i - j) <= NEAR}) > 1)) if len(at["stalk"]) > 1 and len(at["stalk"]) < 200 else float(near("second", "stalk") > 1 and near("stalk", "stalk") > 1)
+    stalk = at["stalk"]
+    around = [bisect_right(stalk, i + NEAR) - bisect_left(stalk, i - NEAR) - (bisect_right(stalk, i) - bisect_left(stalk, i)) for i in at["second"]]  # without the word itself
+    value["stalk_stalk_second"] = float(sum(k > 1 for k in around))
     value["naked_insult"] = float(max(0, len(at["insult"]) - near("insult", "naming") - near("insult", "self")))
     value["naked_sexual"] = float(max(0, len(at["sexual"]) - near("sexual", "naming") - near("sexual", "technical")))
     value["aggression"] = float(sum(value[f"{a}_{b}"] > 0 for a, b in _HOSTILE))
