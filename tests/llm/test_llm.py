@@ -126,6 +126,16 @@ def test_shares_are_of_tokens(spark):
     assert out.groupBy("source", "block_id").count().filter("count > 3").count() == 0
 
 
+def test_total_follows_the_scarcest_stock():
+    # as much as its cap allows, whatever the others have: k times its tokens give k times the slots
+    targets = [("big", 0.98, 1), ("rare", 0.02, 4)]
+    for k in (1, 10, 100):
+        for big in (150_000, 1_500_000):
+            plan = mixing.plan_shares([("big", big, big * 128), ("rare", -(-847 * k // 128), 847 * k)], targets, 128)
+            assert plan["rare"]["quota"] == 4 * plan["rare"]["stock"]
+            assert abs(sum(p["quota"] for p in plan.values()) - k * 4 * 847 / 0.02 / 128) <= 5
+
+
 ABUSE = ["you are a worthless {} and nobody wants you here", "shut your mouth you {}", "f*ck off you {}", "what a {}, i hope you rot", "kill yourself, {}"]
 NAMES = ["idiot", "m0r0n", "scuuuumbag", "b*st*rd", "d-u-m-b-a-s-s", "mоrоn"]
 FINE = ["I feel like an idiot for missing {}", "The page says that words like idiot or moron get a message removed near {}", "ops had to kill the child process of {}", "good call on {} yesterday, thanks", "Strip hedge on {} was executed"]
